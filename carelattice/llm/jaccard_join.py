@@ -98,7 +98,7 @@ def _features(k: int, percent: int):
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textcodes.pieces(batches):
             sizes, digests, sketches, keys = [], [], [], []
             for hashes in textcodes.shingle_sets(batch.column(1).to_pylist(), k):
                 sizes.append(len(hashes))
@@ -115,7 +115,7 @@ def _features(k: int, percent: int):
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in textcodes.pieces(batches):
             a_text, b_text = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             new = list(dict.fromkeys(t for t in a_text + b_text if t not in seen))
             seen.update(zip(new, textcodes.shingle_sets(new, k), strict=True))
@@ -124,7 +124,7 @@ def _verify(k: int, percent: int):
                 x, y = seen[a], seen[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            if sum(map(len, seen)) > 20_000_000:  # code points
+            if sum(map(len, seen)) > 4_000_000:  # code points
                 seen.clear()
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 

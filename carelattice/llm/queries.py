@@ -31,5 +31,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_schedule(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_dedup, op4_jaccard_join, op9_mixing)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op2_toxicity, op3_exact_dedup, op4_jaccard_join, op8_language_id, op9_mixing)
+}
 SQL: dict[str, str] = {}
