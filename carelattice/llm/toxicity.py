@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the words, pairs of neighbours and pairs with one word between (each once a text), as
-64-bit hashes. Training reads a bounded sample of labelled rows; per-coordinate rates and L1 leave
+Features are the words, their stems (first four and five letters, since inflection would scatter a
+word), pairs of neighbours and pairs with one word between (each once a text), as 64-bit hashes. Training reads a bounded sample of labelled rows; per-coordinate rates and L1 leave
 few weights, which are broadcast to score every whole text.
 """
 
@@ -21,10 +21,11 @@ from .shared import materialize
 
 #: The bound of the training sample in rows (documented limit of the fit; scoring has none), the shards that
 #: learn side by side, their rounds, and the fewest sampled texts that a feature must be in.
-SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 6, 6, 5
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 1.0
+SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 6, 8, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 U = np.uint64
-_PAIR, _SKIP = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+_PAIR, _SKIP, _STEM = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
+STEMS = (4, 5)
 
 
 @dataclass(frozen=True)
@@ -48,9 +49,14 @@ def features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     h = textcodes.span_hashes(lower[codes], starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     near, far = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+    stems, owners = [], []
+    for length in STEMS:
+        some = ends - starts > length
+        stems.append(textcodes.mix(textcodes.span_hashes(lower[codes], starts[some], starts[some] + length) ^ _STEM))
+        owners.append(doc[some])
     pair = textcodes.mix(h[:-1] * _PAIR + h[1:])[near]
     skip = textcodes.mix((h[:-2] ^ _SKIP) * _SKIP + h[2:])[far]
-    return np.concatenate((h, pair, skip)), np.concatenate((doc, doc[:-1][near], doc[:-2][far]))
+    return np.concatenate((h, pair, skip, *stems)), np.concatenate((doc, doc[:-1][near], doc[:-2][far], *owners))
 
 
 def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
