@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
+#: Rows up to which a checked table of dropped rows is broadcast; beyond, Spark shuffles.
+BROADCAST_ROWS = 500_000
 PREFIX = 32
 BLANKS = " \t\n\x0b\x0c\r"
 _RUN = "doc_id long, n_chars long, part long, run long, keep_id long, keep_chars long, size long, sha string, border string"
@@ -108,3 +110,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", keep.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep) & (F.col("n_chars") == chars)).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` drops; of rows repeated with one identifier and text one stays."""
+    found = materialize(exact_dedup(docs, id_col, text_col), "dedup")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mark = F.substring("text_sha256", 1, 32)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), mark.alias("_mark")).distinct()
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": F.substring(F.sha2(F.translate(text, BLANKS, ""), 256), 1, 32)})
+    few = gone.count() <= BROADCAST_ROWS
+    mixed = found.groupBy("doc_id", "text_sha256").agg(F.countDistinct("kept").alias("n")).filter("n > 1")
+    if again.unionByName(mixed.withColumnRenamed("n", "count")).limit(1).count():
+        # One identifier with one text in several rows: keep the row with the most code points.
+        best = F.max_by(F.struct(*docs.columns), F.char_length(text))
+        kept = found.filter("kept").select(F.col("doc_id").alias("_id"), mark.alias("_mark")).distinct()
+        one = rows.groupBy("_id", "_mark").agg(best.alias("row"))
+        return one.join(kept, (one["_id"].eqNullSafe(kept["_id"])) & (one["_mark"] == kept["_mark"]), "left_semi").select("row.*")
+    side = F.broadcast(gone.toDF("_gone", "_gone_mark")) if few else gone.toDF("_gone", "_gone_mark")
+    return rows.join(side, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_mark") == F.col("_gone_mark")), "left_anti").select(*docs.columns)

@@ -216,3 +216,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     out = features.select("doc_id", "n_shingles").join(names, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+
+
+def keep_smallest(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest doc_id of each component only; rows that link with nothing all stay."""
+    found = jaccard_components(docs, k, percent, id_col, text_col)
+    gone = materialize(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -155,11 +155,11 @@ def label_words(codes: np.ndarray, offsets: np.ndarray, model: Model):
     return starts, ends, first, viterbi(scores, penalty)
 
 
-def _predict(spark_model, spans: bool):
+def _predict(spark_model, spans: bool, text_at: int = -1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spark_model.value
         for batch in textcodes.pieces(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(text_at % batch.num_columns).to_pylist()
             for at, codes, offsets in textcodes.slices(texts):
                 docs = len(offsets) - 1
                 starts, ends, first, label = label_words(codes, offsets, model)
@@ -181,7 +181,8 @@ def _predict(spark_model, spans: bool):
                 best = weight.argmax(axis=1)
                 lang = [model.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 score = np.where(some, weight[np.arange(docs), best] / np.maximum(total, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                rest = batch.num_columns if text_at >= 0 else -1
+                yield pa.RecordBatch.from_arrays([*kept.columns[:rest], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:rest], "lang_pred", "score"])
 
     return run
 
@@ -193,9 +194,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     Ties go to the smaller language name. Scores never see anything but the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
-    return rows.mapInArrow(_predict(shared, False), schema)
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string", "score double"])
+    return rows.mapInArrow(_predict(shared, False, keep.index(text_col) if text_col in keep else -1), schema)
 
 
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,3 +87,25 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         queued = queued.withColumn("finish" if i == 0 else f"finish_{i + 1}", F.when(F.col("target") > 0, ends / F.col("target")))
     queued = queued.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins", *("finish" if i == 0 else f"finish_{i + 1}" for i in range(REPEATS)), "taken")
     return queued.repartitionByRange("finish", "text_hash").sortWithinPartitions("finish", "text_hash")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """The mix itself: rows of ``docs`` with its columns, in the order of their virtual finish times.
+
+    Documents are taken whole: a turn counts if at least half of its words come before the cut, so a
+    source misses its target by half a document at most. A document taken twice is two rows; a
+    document that isn't taken, or has no words, is no row. Rows alike in identifier and text are queued each.
+    """
+    plan = materialize(fair_schedule(docs, id_col, text_col, source_col, seed), "schedule")
+    first = F.least("size", "taken")
+    for_turns = F.array(
+        F.struct((2 * first >= F.col("size")).alias("in"), F.col("finish").alias("finish")),
+        F.struct((2 * (F.col("taken") - first) >= F.col("size")).alias("in"), F.col("finish_2").alias("finish")),
+    )
+    turns = plan.filter("size > 0").select("doc_id", "text_hash", F.explode(F.filter(for_turns, lambda t: t["in"])).alias("turn"))
+    turns = turns.select("doc_id", "text_hash", F.col("turn.finish").alias("finish"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
+    if plan.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():  # the turns of rows alike are rows of their own
+        rows = rows.groupBy("d", "h").agg(F.first("row").alias("row"))
+    out = rows.join(turns, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+    return out.repartitionByRange("finish", "h").sortWithinPartitions("finish", "h").select("row.*")
