@@ -1,0 +1 @@
+"""Spark-native operators for retrieval, rule evaluation and event-driven care workflows."""

@@ -1,0 +1 @@
+"""Column expressions: text, dates, identity, vectors and collections."""

@@ -1,0 +1 @@
+"""Rule packs, retrieval and assembly, and the registered queries."""

@@ -1,0 +1 @@
+"""Structured Streaming forms of the message and state operators."""
