@@ -20,7 +20,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +27,14 @@ from . import pretokens, textcodes
 from .shared import materialize
 
 #: Bound of the broadcast part of the dictionary, in words.
-FREQUENT_WORDS = 1 << 21
+FREQUENT_WORDS = 1 << 22
 #: Maps that the literal rank map is dealt to by crc32; a lookup reads one of them.
 RANK_BUCKETS = 16384
 #: Code points from which a word is cut where no token reaches across.
 LONG_WORD = 48
 #: Words whose encodings a worker keeps as text, and distinct words it gathers before it emits them.
 KEPT_WORDS, GATHERED_WORDS = 150_000, 300_000
-NO_RANK = 2**31 - 1
+NO_RANK, PLACES = 2**31 - 1, 1 << 20
 
 
 @cache
@@ -66,7 +65,7 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     """
 
     def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(ranks, (F.crc32(F.encode(piece, "UTF-8")) % RANK_BUCKETS + 1).cast("int")), piece)
+        return F.element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % RANK_BUCKETS + 1).cast("int")), piece)
 
     pair_rank = lambda pair: F.coalesce(rank(pair), F.lit(NO_RANK))
     edge = F.array(F.lit(None).cast("string"))
@@ -87,11 +86,13 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
             return _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), put)
 
-        least = F.array_min(r)
-        return F.when(least == NO_RANK, state).otherwise(_let(F.array_position(r, least).cast("int"), at))
+        # Rank and place of the lowest pair in one number; the leftmost of equals is the least.
+        placed = F.array_min(F.transform(r, lambda x, i: x.cast("long") * PLACES + i))
+        next_state = lambda least: F.when(least >= NO_RANK * PLACES, state).otherwise(_let((least % PLACES).cast("int") + 1, at))
+        return _let(placed, next_state)
 
     merged = F.aggregate(F.sequence(F.lit(2), F.length(word)), begin, merge)["p"]
-    ids = F.transform(F.slice(merged, F.lit(2), F.size(merged) - 2), rank)
+    ids = _let(merged, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), rank))
     whole = rank(word)
     return F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) == 1, F.array(whole)).otherwise(ids)
 
@@ -223,7 +224,7 @@ def _apply(path: str, shared):
 def dictionary(texts: DataFrame, path: str) -> DataFrame:
     """hash, word, n, ids of every distinct word of ``texts(text)``, kept in the shared folder."""
     found = texts.select("text").mapInArrow(_distinct(path), "hash long, word binary, n long")
-    words = found.groupBy("hash").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    words = found.groupBy("hash", "word").agg(F.sum("n").alias("n"))
     return materialize(encode_words(words, load_ranks(path)).select("hash", "n", "ids"), "bpe-words")
 
 
@@ -234,11 +235,12 @@ def frequent_part(words: DataFrame, most: int) -> tuple[Frequent, int]:
     if used is not None:
         beyond = used["words"].cumsum() > most
         least = int(used["n"][beyond].iloc[0])
-    table = words.filter(F.col("n") > least).select("hash", "ids").toArrow()
+    table = words.filter(F.col("n") > least).select("hash", "ids").toArrow().combine_chunks()
+    hashes = table.column("hash").to_numpy()
     lists = table.column("ids").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.array([], pa.list_(pa.int32()))
-    sizes = np.asarray(pc.list_value_length(lists)) if len(lists) else np.zeros(0, np.int64)
-    return Frequent(table.column("hash").to_numpy(), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), lists.flatten().to_numpy().astype(np.int32)), least
+    if isinstance(lists, pa.ChunkedArray):  # no rows
+        lists = pa.array([], pa.list_(pa.int32()))
+    return Frequent(hashes, lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32), lists.flatten().to_numpy()), least
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_WORDS) -> DataFrame:
