@@ -106,4 +106,18 @@ SQL: dict[str, str] = {
                 first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY c DESC, doc_id) AS keep_id FROM t
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op4_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w
+        ), u AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS d FROM s),
+        e AS (SELECT doc_id, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN u x ON x.doc_id = a JOIN u y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        twoway AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, m) AS (SELECT doc_id, doc_id FROM u UNION SELECT twoway.b, r.m FROM r JOIN twoway ON twoway.a = r.doc_id WHERE r.m < twoway.b),
+        c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, n AS n_shingles, component_id, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY d) END AS class_id FROM u JOIN c USING (doc_id)""",
 }

@@ -26,7 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of the rolling sums, and of its inverse."""
     if len(_POWERS["up"]) < n:
         size = max(n, 2 * len(_POWERS["up"]))
         for key, factor in (("up", _BASE), ("down", _INVERSE)):
@@ -85,7 +86,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of code points; equal spans hash alike wherever they stand."""
-    up, down = _powers(len(codes) + 1)
+    up, down = powers(len(codes) + 1)
     x = (codes.astype(U) + U(1)) * _M3
     x ^= x >> U(32)
     x *= up[: len(codes)]
@@ -95,12 +96,17 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * _M2)
 
 
-def shingles(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
-    """Each text's hashes of its runs of k words; a text of fewer words gives one, of none no hash."""
+def roll(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, texts' borders not heeded."""
     rolled = np.zeros(max(0, len(words) - k + 1), U)
     for i in range(k):
         rolled = mix(rolled * _M3 + words[i : i + len(rolled)])
-    out = []
+    return rolled
+
+
+def shingles(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """Each text's hashes of its runs of k words; a text of fewer words gives one, of none no hash."""
+    rolled, out = roll(words, k), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(rolled[a : b - k + 1])
