@@ -20,9 +20,11 @@ from .langid import fold
 from .shared import materialize
 
 #: The bound of the training sample in rows (documented limit of the fit; scoring has none), the shards that
-#: learn side by side, their rounds, and the fewest sampled texts that a feature must be in.
-SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 6, 8, 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
+#: learn side by side, their rounds, and the share of the sampled texts (three at least) that a feature must be in.
+SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_SHARE = 12_000, 4, 10, 1 / 500
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.05
+#: Toxic texts are the rarer class; each counts as so many.
+TOXIC_WEIGHT = 2.0
 U = np.uint64
 _PAIR, _SKIP, _STEM = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
 STEMS = (4, 5)
@@ -42,38 +44,57 @@ class Weights:
         return table
 
 
-def features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes of all texts of a slice and the text that each is from (repeats included)."""
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
+def features(codes: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes of all texts of a slice and the text that each is from (repeats included).
+
+    With ``known`` (sorted word hashes) only pairs of two known words are made.
+    """
     letter, lower, _ = letters.tables()
     starts, ends, first = textcodes.runs(letter[codes] | ((codes >= 48) & (codes <= 57)), offsets)
     h = textcodes.span_hashes(lower[codes], starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     near, far = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+    if known is not None:
+        use = _among(known, h)
+        near, far = near & use[1:] & use[:-1], far & use[2:] & use[:-2]
     stems, owners = [], []
     for length in STEMS:
         some = ends - starts > length
         stems.append(textcodes.mix(textcodes.span_hashes(lower[codes], starts[some], starts[some] + length) ^ _STEM))
         owners.append(doc[some])
+    if not pairs:
+        return np.concatenate((h, *stems)), np.concatenate((doc, *owners))
     pair = textcodes.mix(h[:-1] * _PAIR + h[1:])[near]
     skip = textcodes.mix((h[:-2] ^ _SKIP) * _SKIP + h[2:])[far]
     return np.concatenate((h, pair, skip, *stems)), np.concatenate((doc, doc[:-1][near], doc[:-2][far], *owners))
 
 
-def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def _sets(texts: list[str | None], known: np.ndarray | None = None, pairs: bool = True) -> Iterator[np.ndarray]:
     for _, codes, offsets in textcodes.slices(texts):
-        f, doc = features(codes, offsets)
+        f, doc = features(codes, offsets, known, pairs)
         order = np.argsort(doc, kind="stable")
         f, bounds = f[order], np.searchsorted(doc[order], np.arange(len(offsets)))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield np.unique(f[a:b])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in textcodes.pieces(batches, 4096):
-        found = list(_sets(batch.column("text").to_pylist()))
+def _frequencies(words):
+    """In how many texts each feature is; without ``words`` of single words and stems, with it of all features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value if words is not None else None
+        found = [f for batch in batches for f in _sets(batch.column("text").to_pylist(), known, known is not None)]
         f, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
+    return run
+
 
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,21 +111,25 @@ def _encode(vocabulary):
 
 
 def _descend(state):
-    """One shard's pass of FTRL-proximal from the shared state; returns what it has changed."""
-
-    def run(table: pa.Table) -> pa.Table:
-        z, n = (x.copy() for x in state.value)
-        size = len(z)
-        for toxic, places in zip(table.column("toxic").to_pylist(), table.column("places"), strict=True):
-            at = np.append(places.values.to_numpy()[0:0] if places.as_py() is None else np.asarray(places.values), size - 1).astype(np.int64)
-            w = weights_of(z[at], n[at])
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - toxic
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-        some = np.flatnonzero(n != state.value[1])
-        return pa.table({"place": pa.array(some, pa.int64()), "dz": z[some] - state.value[0][some], "dn": n[some] - state.value[1][some]})
+    """One pass of FTRL-proximal over each shard from the shared state; returns what each has changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z0, n0 = state.value
+        shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            lists = batch.column("places")
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, (shard, toxic) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
+                z, n = shards.setdefault(shard, (z0.copy(), n0.copy()))
+                at = np.append(flat[ends[i] : ends[i + 1]], len(z) - 1).astype(np.int64)
+                w = weights_of(z[at], n[at])
+                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - toxic) * (TOXIC_WEIGHT if toxic else 1.0)
+                sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+                z[at] += g - sigma * w
+                n[at] += g * g
+        for z, n in shards.values():
+            some = np.flatnonzero(n != n0)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(z[some] - z0[some]), pa.array(n[some] - n0[some])], names=["place", "dz", "dn"])
 
     return run
 
@@ -127,12 +152,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = chosen.withColumn("turn", turn).orderBy("turn", "doc_id").limit(sample_rows).withColumn("shard", F.pmod("turn", F.lit(SHARDS)).cast("int"))
     # At most ``sample_rows`` rows of four numbers.
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "shard", "turn"), "toxicity-sample")
-    counts = sample.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    vocabulary = np.sort(counts.filter(F.col("n") >= LEAST_TEXTS).select("feature").toArrow().column(0).to_numpy().view(U))
-    encoded = materialize(sample.mapInArrow(_encode(spark.sparkContext.broadcast(vocabulary)), "shard int, toxic int, places array<int>"), "toxicity-encoded")
+    least = max(3, round(LEAST_SHARE * sample.count()))
+
+    def often(words) -> np.ndarray:
+        counts = sample.select("text").mapInArrow(_frequencies(words), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        return np.sort(counts.filter(F.col("n") >= least).select("feature").toArrow().column(0).to_numpy().view(U))
+
+    # A pair can only be in that many texts if both its words are.
+    vocabulary = often(spark.sparkContext.broadcast(often(None)))
+    encoded = sample.mapInArrow(_encode(spark.sparkContext.broadcast(vocabulary)), "shard int, toxic int, places array<int>")
+    encoded = materialize(encoded, "toxicity-encoded")
     z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     for _ in range(ROUNDS):
-        changed = encoded.groupBy("shard").applyInArrow(_descend(spark.sparkContext.broadcast((z, n))), "place long, dz double, dn double")
+        changed = encoded.mapInArrow(_descend(spark.sparkContext.broadcast((z, n))), "place long, dz double, dn double")
         mean = changed.groupBy("place").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
         at = mean.column("place").to_numpy()
         z[at] += mean.column("dz").to_numpy()
@@ -177,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns only from labels whose identifier's fold isn't ``held_out``. Null identifiers and labels
     that are neither 0 nor 1 are not learned from; of several labels of one identifier the largest
-    counts. Without labels all scores are 0.5 times nothing learned, that is 0.5. An empty table
+    counts. Without labels nothing is learned and all scores are 0.5. An empty table
     gives no rows; other columns are ignored.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
