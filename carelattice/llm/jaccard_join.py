@@ -4,7 +4,7 @@ Every shingle toggles (XOR) one bit of a document's bit sketch, so the Hamming d
 sketches is at most the symmetric difference of the shingle sets. For a pair of given sizes the
 threshold bounds that difference by D; of D + s chunks of the sketch at least s are then equal
 (pigeonhole). Documents are joined on equal chunks within bands of sizes, pairs are thinned by
-the Hamming distance of a folded 512-bit sketch, and what is left is verified on the whole texts.
+the Hamming distance of a folded sketch of about a bit a shingle, and what is left is verified on the whole texts.
 
 Chunks are 2^32 bits wide and never stored: a chunk's key is a linear hash of its bits, the XOR of
 one 64-bit value for each bit set. A chunk without any bit says nothing, so D + s chunks are
@@ -27,6 +27,7 @@ from . import textcodes
 from .graph import components
 from .shared import materialize
 
+#: Bits of the smallest folded sketch.
 SKETCH_BITS = 512
 #: Rows up to which a checked table of two numbers a row is broadcast (about 40 MB as a hash table); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
@@ -86,9 +87,11 @@ def chunk_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def fold_sketch(hashes: np.ndarray) -> bytes:
-    toggles = np.bincount(((hashes >> U(20)) & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(toggles.astype(np.uint8)).tobytes()
+def fold_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A parity sketch of at least a bit for each shingle, as 64-bit words; a power of two of them, so halves can be folded."""
+    bits = max(SKETCH_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    toggles = np.bincount(((hashes >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(toggles.astype(np.uint8)).view(np.int64)
 
 
 _FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
@@ -103,7 +106,7 @@ def _features(k: int, percent: int):
             for hashes in textcodes.shingle_sets(batch.column(1).to_pylist(), k):
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                sketches.append(np.frombuffer(fold_sketch(hashes), np.int64))
+                sketches.append(fold_sketch(hashes))
                 keys.append(chunk_keys(hashes, bands).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
             as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in x]))), pa.int32()), pa.array(np.concatenate(x)))
             if sizes:
@@ -139,9 +142,18 @@ def _near(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(percent: int):
+    """Do sizes and sketches allow a link? A sketch twice as long as the other is folded by XOR of its halves."""
     total = F.col("n_a") + F.col("n_b")
-    hamming = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("s_a")[0].bitwiseXOR(F.col("s_b")[0])))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (hamming * (100 + percent) <= total * (100 - percent))
+
+    def folded(x: str, other: str):
+        half = (F.size(x) / 2).cast("int")
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), halves).otherwise(F.col(x))
+
+    apart = F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    hamming = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return F.when(similar, hamming * (100 + percent) <= total * (100 - percent)).otherwise(F.lit(False))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -151,8 +163,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     wanted = materialize(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    # While the pairs are few they go to the texts, so only texts of pairs are shuffled, and once.
+    asked = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    both = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).join(asked, "b")
+    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a")
     return materialize(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
@@ -185,8 +199,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     buckets = materialize(buckets.filter(F.col("hub") < F.col("last")), "buckets")
     twos = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).distinct()
     large = buckets.filter("n > 2").select("key", "hub")
-    large_few = large.count() <= BROADCAST_ROWS
-    members = materialize(keyed.join(F.broadcast(large) if large_few else large, "key").filter("id != hub"), "members")
+    # Keys grow with the input, so this join is shuffled at every size.
+    members = materialize(keyed.join(large.hint("merge"), "key").filter("id != hub"), "members")
     light = apart.select("doc_id", "n_shingles", "sketch")
     pairs = twos.unionByName(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
     known_texts = texts.filter(F.col("doc_id").isNotNull())
