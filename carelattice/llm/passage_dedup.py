@@ -111,6 +111,40 @@ def _shingles(k: int):
     return run
 
 
+def _near(pairs: DataFrame, sample: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets of shingles are that similar."""
+    both = pairs.join(sample.toDF("a", "x"), "a").join(sample.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _across(pairs: DataFrame, sample: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links between paragraphs of different components, for bands whose members aren't all in their hub's.
+
+    Sets of n and m shingles that similar share ``percent`` of n, so of each set's shingles in one order the first
+    n - ceil(percent * n) + 1 must meet. The order is by frequency, rarest first: what made a band
+    large comes last, and is compared on only where a paragraph has nothing rarer.
+    """
+    named = lambda df, name, out: df.join(classes.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+    apart = named(named(pairs, "hub", "hub_c"), "hash", "c")
+    hubs = apart.filter("c != hub_c").select("hub").distinct()
+    # All members that met such a hub, its own component's too: a stray may be near one of these.
+    members = apart.join(hubs, "hub").select(F.explode(F.array(F.struct("hash", "c"), F.struct(F.col("hub").alias("hash"), F.col("hub_c").alias("c")))).alias("m")).select("m.*").distinct()
+    tokens = members.join(sample, "hash").select("hash", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = materialize(tokens, "paragraph-tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("least"), F.max("c").alias("most")).filter("f > 1")
+    ranked = tokens.join(counts.hint("merge"), "token")
+    ranked = ranked.groupBy("hash", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", (F.col("least") < F.col("most")).alias("mixed")))).alias("t"))
+    # Shingles of one paragraph alone are the rarest and meet nothing; they take their places of the prefix.
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
+    ranked = ranked.withColumn("room", room.cast("int")).filter("room > 0").select("hash", "c", "n", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t"))
+    ranked = materialize(ranked.filter("t.mixed").select("hash", "c", "n", F.col("t.token").alias("token")), "paragraph-prefixes")
+    side = lambda x: ranked.select("token", F.col("hash").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
+    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    met = side("a").join(side("b").hint("merge"), "token").filter((F.col("c_a") < F.col("c_b")) & similar).select("a", "b").distinct()
+    return materialize(_near(materialize(met, "paragraph-strays"), sample, percent), "paragraph-links")
+
+
 def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The passages that recur across documents: doc_id, start_word, n_words, cluster_id, n_docs, kept.
 
@@ -122,8 +156,9 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
     than ``k`` words and null identifiers take no part; rows with one doc_id count as one document. An
     empty table gives no rows; other columns are ignored.
 
-    Equal paragraphs always meet; others meet the first class of each band they share, with recall
-    ``RECALL`` at the threshold. Comparing with that one class alone keeps very common shingles linear.
+    Equal paragraphs always meet; others are compared where they share a band, with recall ``RECALL`` at
+    the threshold: with the band's first class, and then, where they still lie in other components,
+    across components by their rarest shingles, so very common shingles don't pair all that hold them.
     """
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     segments = texts.mapInArrow(_segments(k, bands(percent)), _SEGMENTS)
@@ -141,10 +176,10 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
     where = materialize(where.groupBy("doc_id").agg(F.collect_list("c").alias("chosen")), "paragraph-places")
     sample = materialize(texts.join(where, "doc_id").select("text", "chosen").mapInArrow(_shingles(k), "hash long, shingles array<long>"), "shingles")
     sample = sample.groupBy("hash").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sample.toDF("hub", "x"), "hub").join(sample.toDF("hash", "y"), "hash")
-    common = F.size(F.array_intersect("x", "y"))
-    near = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("hub").alias("a"), F.col("hash").alias("b"))
-    classes = components(near)
+    near = materialize(_near(pairs.toDF("a", "b"), sample, percent), "paragraph-links")
+    classes = materialize(components(near), "paragraph-components")
+    late = _across(pairs, sample, classes, percent)
+    classes = components(near.unionByName(late))
     found = met.select("doc_id", "start", "n_words", "hash").distinct()
     found = found.join(classes.select(F.col("node").alias("hash"), "component"), "hash", "left").withColumn("cluster", F.coalesce("component", "hash"))
     found = materialize(found.select("doc_id", "start", "n_words", "cluster"), "found")

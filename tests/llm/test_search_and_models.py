@@ -2,10 +2,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from carelattice.llm import langid, queries, toxicity
-from carelattice.llm.passage_dedup import bands, remove_passages, repeated_passages
+from carelattice.llm.passage_dedup import _segments, bands, remove_passages, repeated_passages
 from carelattice.llm.pivot_topk import pivot_topk
 
 from . import brute
@@ -144,6 +145,43 @@ def test_near_paragraphs_are_one_cluster(spark):
     assert bands(80, 0.95) == 2
 
 
+def paragraph_links(rows, percent=80):
+    """By brute force: the paragraphs (document, first word, words), and the pairs of them that are near or equal, with whether they share a band."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows]), pa.array([r["text"] for r in rows])], names=["doc_id", "text"])
+    found = [r for out in _segments(5, bands())(iter([batch])) for r in out.to_pylist()]
+    texts = {r["doc_id"]: r["text"].split() for r in rows}
+    sets = [{tuple(texts[r["doc_id"]][i : i + 5]) for i in range(r["start"], r["start"] + r["n_words"] - 4)} for r in found]
+    near = [(i, j) for i in range(len(found)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    return [(r["doc_id"], r["start"], r["n_words"]) for r in found], [(i, j, any(x == y for x, y in zip(found[i]["bands"], found[j]["bands"], strict=True))) for i, j in near]
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    return [root(i) for i in range(n)]
+
+
+def test_near_paragraphs_meet_behind_an_unlike_hub(spark):
+    """Short texts that start with one common line, so that the first class of their bands is unlike; each is a near copy of one other."""
+    line = words(9, 77)
+    rows = [{"doc_id": i, "text": f"{line} {words(4, 2000 + i // 2)} {words(1, 4000 + i)}"} for i in range(120)]
+    found, near = paragraph_links(rows)
+    by_band, by_all = roots(len(found), [(i, j) for i, j, band in near if band]), roots(len(found), [(i, j) for i, j, _ in near])
+    docs = lambda r: {x: {found[i][0] for i in range(len(found)) if r[i] == x} for x in set(r)}
+    in_band, in_all = docs(by_band), docs(by_all)
+    got = repeated_passages(brute.frame(spark, rows).coalesce(1), run_words=1).collect()
+    words_in = lambda which, r: sum(n for i, (_, _, n) in enumerate(found) if len(which[r[i]]) > 1)
+    assert words_in(in_band, by_band) <= sum(r.n_words for r in got) <= words_in(in_all, by_all)
+    assert {d for s in in_band.values() if len(s) > 1 for d in s} <= {r.doc_id for r in got} <= {d for s in in_all.values() if len(s) > 1 for d in s}
+
+
 def test_passages_of_awkward_rows(spark):
     got = repeated_passages(brute.frame(spark, brute.awkward())).collect()
     assert {r.doc_id for r in got} >= {22, 25, 28} and all(r.doc_id is not None for r in got)
