@@ -148,10 +148,10 @@ def _across(pairs: DataFrame, sample: DataFrame, classes: DataFrame, percent: in
 def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The passages that recur across documents: doc_id, start_word, n_words, cluster_id, n_docs, kept.
 
-    One row for each run of consecutive repeated paragraphs of a document, of ``run_words`` words or more:
-    where it starts (words from 0, split at ``[\\x20\\x09-\\x0D]+``), how long it is, the smallest doc_id of the
+    One row for each run of consecutive repeated paragraphs of a document, of ``run_words`` words or more, cut
+    where ``kept`` changes (a part not kept may be shorter; a shorter one kept stays in the text without a row): where it starts (words from 0, split at ``[\\x20\\x09-\\x0D]+``), how long it is, the smallest doc_id of the
     components its paragraphs are in, the most documents that one of these may be in (rows of paragraphs),
-    and whether this document keeps it, being the first of each of its components. Documents without repeated passages
+    and whether this document keeps it, being the first of each of its components, or else the first of none. Documents without repeated passages
     have no row. Repeats within one document alone don't count. Null and empty texts, texts of fewer
     than ``k`` words and null identifiers take no part; rows with one doc_id count as one document. An
     empty table gives no rows; other columns are ignored.
@@ -188,11 +188,16 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
     in_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
     gap = F.col("start") != F.lag(F.col("start") + F.col("n_words")).over(in_doc)
     repeats = repeats.withColumn("run", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = repeats.groupBy("doc_id", "run").agg(
+    # What a run keeps and what not are rows of their own, so each cluster's first document keeps it.
+    own = F.col("first_doc") == F.col("doc_id")
+    repeats = repeats.withColumn("kept", own).withColumn("turn", F.coalesce(F.col("kept") != F.lag("kept").over(in_doc), F.lit(True)))
+    repeats = repeats.withColumn("part", F.sum(F.col("turn").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = repeats.groupBy("doc_id", "run", "part", "kept").agg(
         F.min("start").alias("start_word"), F.sum("n_words").alias("n_words"), F.min("first_doc").alias("cluster_id"), F.max("n_docs").alias("n_docs"),
-        F.min(F.col("first_doc") == F.col("doc_id")).alias("kept"),
     )
-    return passages.filter(F.col("n_words") >= run_words).drop("run")
+    whole = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
+    passages = passages.withColumn("counted", F.when(F.col("kept"), F.col("n_words")).otherwise(whole)).filter(F.col("counted") >= run_words)
+    return passages.select("doc_id", "start_word", "n_words", "cluster_id", "n_docs", "kept")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,20 @@ def test_near_paragraphs_meet_behind_an_unlike_hub(spark):
     assert {d for s in in_band.values() if len(s) > 1 for d in s} <= {r.doc_id for r in got} <= {d for s in in_all.values() if len(s) > 1 for d in s}
 
 
+def test_copies_that_hold_an_earlier_passage_keep_their_text_once(spark):
+    """Documents 5 and 9 are copies and hold passages of 1 and 2 side by side; every word stays in some document."""
+    a, b, before, after = words(60, 21), words(60, 22), words(120, 23), words(120, 24)
+    rows = [{"doc_id": 1, "text": f"{words(90, 25)} {a} {words(90, 26)}"}, {"doc_id": 2, "text": f"{words(90, 27)} {b} {words(90, 28)}"}]
+    rows += [{"doc_id": i, "text": f"{before} {a} {b} {after}"} for i in (5, 9)]
+    docs = brute.frame(spark, rows)
+    found = repeated_passages(docs).collect()
+    left = {r.doc_id: set(r.text.split()) for r in remove_passages(docs, repeated_passages(docs)).collect()}
+    assert {r.kept for r in found if r.doc_id == 5} == {True, False} and not any(r.kept for r in found if r.doc_id == 9)
+    assert left[1] >= set(a.split()) and left[2] >= set(b.split())
+    assert left[5] >= set(before.split()) | set(after.split())
+    assert len(left[5] & set(a.split())) < 40 and len(left[5] & set(b.split())) < 40 and len(left[9]) < 10
+
+
 def test_passages_of_awkward_rows(spark):
     got = repeated_passages(brute.frame(spark, brute.awkward())).collect()
     assert {r.doc_id for r in got} >= {22, 25, 28} and all(r.doc_id is not None for r in got)
