@@ -189,11 +189,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     features = materialize(texts.mapInArrow(_features(k, percent), _FEATURES), "sketches")
     known = features.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    copies = known.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").select("doc_id", "class_id")
+    copies = known.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").select("doc_id", "digest", "class_id")
     copies = materialize(copies.filter("doc_id != class_id"), "copies")
     few = copies.count() <= BROADCAST_ROWS
-    gone = copies.select("doc_id").distinct()
-    apart = known.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    # A doc_id with several texts goes in the class of its copy only.
+    gone = copies.select("doc_id", "digest").distinct()
+    apart = known.join(F.broadcast(gone) if few else gone, ["doc_id", "digest"], "left_anti")
     keyed = apart.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("id"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     buckets = materialize(buckets.filter(F.col("hub") < F.col("last")), "buckets")

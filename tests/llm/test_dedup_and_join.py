@@ -61,6 +61,14 @@ def test_jaccard_one_id_for_two_texts(spark):
     assert brute.order(got) == brute.order(brute.jaccard(rows, 4, 85))
 
 
+def test_jaccard_copy_with_a_second_text(spark):
+    """5's first text is a copy of 1's, its second one is near 7's."""
+    text = [f"w{i}" for i in range(60)]
+    rows = [{"doc_id": 1, "text": "a b c d e f"}, {"doc_id": 5, "text": "a b c d e f"}, {"doc_id": 5, "text": " ".join(text)}, {"doc_id": 7, "text": " ".join(text[:-1] + ["x"])}]
+    got = jaccard_components(brute.frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.order(got) == brute.order(brute.jaccard(rows, 4, 85))
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_components(brute.frame(spark, [])).collect() == []
 
