@@ -4,19 +4,21 @@ Every shingle toggles (XOR) one bit of a document's bit sketch, so the Hamming d
 sketches is at most the symmetric difference of the shingle sets. For a pair of given sizes the
 threshold bounds that difference by D; of D + s chunks of the sketch at least s are then equal
 (pigeonhole). Documents are joined on equal chunks within bands of sizes, pairs are thinned by
-the Hamming distance of a folded sketch of about a bit a shingle, and what is left is verified on the whole texts.
+the Hamming distance of a folded sketch of about a bit a shingle, and what is left is verified on the words of the whole texts.
 
 Chunks are 2^32 bits wide and never stored: a chunk's key is a linear hash of its bits, the XOR of
-one 64-bit value for each bit set. A chunk without any bit says nothing, so D + s chunks are
-used, and empty ones count only in documents with at least s of them: a pair all of whose equal
-chunks are empty has s of these in both documents.
+one 64-bit value for each bit set. A chunk without any bit says nothing and has no key. A pair all of
+whose s equal chunks are empty has s empty ones in both documents; so few documents have that many
+that these also emit their least shingles as keys (a prefix filter), of which such a pair shares one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 
 from . import textcodes
 from .graph import components
+from .rare_first import rare_pairs
 from .shared import materialize
 
 #: Bits of the smallest folded sketch.
 SKETCH_BITS = 512
 #: Rows up to which a checked table of two numbers a row is broadcast (about 40 MB as a hash table); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
+#: Code points of texts whose sets a worker keeps while it verifies pairs.
+KEPT_TEXT = 2_000_000
 U = np.uint64
 
 
@@ -51,30 +56,39 @@ class Bands:
             out.append(max(out[-1] + 1, int(out[-1] * ratio)))
         return out
 
-    def schemes(self, size: int) -> list[tuple[int, int]]:
-        """(number, D) of each chunking that a set of this size takes part in: one for pairs within
+    def schemes(self, size: int) -> list[tuple[int, int, int]]:
+        """(number, D, smallest size) of each chunking that a set of this size takes part in: one for pairs within
         its band, one for each border near it, for pairs across. None where only equal sets link."""
         bounds = self.starts(size)
         band = len(bounds) - 2
-        out = [(2 * band, self.difference(2 * (bounds[-1] - 1)))]
+        out = [(2 * band, self.difference(2 * (bounds[-1] - 1)), bounds[-2])]
         for number, border in ((2 * band + 1, bounds[-1]), (2 * band - 1, bounds[-2])):
             partner = (border - 1) * 100 // self.percent
             if border > 1 and partner >= border and (size * 100 >= border * self.percent if size < border else size <= partner):
-                out.append((number, self.difference(border - 1 + partner)))
+                out.append((number, self.difference(border - 1 + partner), -(-border * self.percent // 100)))
         return [x for x in out if x[1] > 0]
 
+    def prefix(self, size: int) -> int:
+        """Of how many shingles, the first in any one order, two linked sets must share one."""
+        return size - -(-size * self.percent // 100) + 1
 
-def spare(difference: int) -> int:
-    """How many chunks must be equal: more where more are likely to be empty."""
-    return 2 if difference < 24 else 3 + difference // 64
+
+@cache
+def spare(difference: int, least: int) -> int:
+    """How many chunks must be equal: more than are empty, but for one set of ``least`` shingles in thousands."""
+    for s in range(1, difference + 2):
+        mean = (difference + s) * math.exp(-least / (difference + s))
+        if s > mean + 4 * math.sqrt(mean):
+            break
+    return s
 
 
 def chunk_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a sorted set of shingle hashes."""
+    """Distinct join keys of a sorted set of shingle hashes."""
     out = []
-    low, high = textcodes.mix(hashes | U(0)), hashes >> U(32)
-    for number, difference in bands.schemes(len(hashes)):
-        s = spare(difference)
+    low, high = textcodes.mix(hashes), hashes >> U(32)
+    for number, difference, least in bands.schemes(len(hashes)) if len(hashes) else ():
+        s = spare(difference, least)
         chunks = difference + s
         part = ((high * U(chunks)) >> U(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -82,9 +96,8 @@ def chunk_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         salt = U((number * 0x9E3779B97F4A7C15) & (2**64 - 1))
         out.append(textcodes.mix(toggled ^ textcodes.mix(filled.astype(U) + salt)))
         if chunks - len(filled) >= s:
-            empty = np.setdiff1d(np.arange(chunks), filled, assume_unique=True)
-            out.append(textcodes.mix(textcodes.mix(empty.astype(U) + salt)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+            out.append(textcodes.mix(low[: bands.prefix(len(hashes))] + ~salt))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
 def fold_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -94,6 +107,14 @@ def fold_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(toggles.astype(np.uint8)).view(np.int64)
 
 
+def _digest(found: textcodes.Shingled, second: int) -> bytes | None:
+    return hashlib.blake2b(found.hashes.tobytes() + second.to_bytes(8, "little"), digest_size=16).digest() if found.size else None
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in arrays]))), pa.int32()), pa.array(np.concatenate(arrays)))
+
+
 _FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
 
 
@@ -101,39 +122,80 @@ def _features(k: int, percent: int):
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textcodes.pieces(batches):
+        for batch in textcodes.pieces(batches, 256):
             sizes, digests, sketches, keys = [], [], [], []
-            for hashes in textcodes.shingle_sets(batch.column(1).to_pylist(), k):
-                sizes.append(len(hashes))
-                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                sketches.append(fold_sketch(hashes))
-                keys.append(chunk_keys(hashes, bands).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-            as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in x]))), pa.int32()), pa.array(np.concatenate(x)))
+            for found, second in textcodes.shingled(batch.column(1).to_pylist(), k):
+                sizes.append(found.size)
+                digests.append(_digest(found, second))
+                sketches.append(fold_sketch(found.hashes))
+                keys.append(chunk_keys(found.hashes, bands).view(np.int64))
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), as_list(sketches), as_list(keys)], names=["doc_id", "n_shingles", "digest", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches), _lists(keys)], names=["doc_id", "n_shingles", "digest", "sketch", "keys"])
 
     return run
 
 
+_MEMBERS = "key long, hub long, id long"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) in that order, each key's later rows with its first one (hub); keys of one row give none."""
+    last_key, hub = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last_key is None or key[0] != last_key
+        heads = own[new]
+        hubs = heads[np.cumsum(new) - 1] if new[0] else np.concatenate(([hub], heads))[np.cumsum(new)]
+        later = hubs != own
+        last_key, hub = key[-1], hubs[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(hubs[later]), pa.array(own[later])], names=["key", "hub", "id"])
+
+
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        for batch in textcodes.pieces(batches):
+        seen: dict[str, textcodes.Shingled] = {}
+        numbers: dict[str, int] = {}
+        held = 0
+        for batch in textcodes.pieces(batches, 64):
             a_text, b_text = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            if held > KEPT_TEXT:
+                seen.clear(), numbers.clear()
+                held = 0
             new = list(dict.fromkeys(t for t in a_text + b_text if t not in seen))
-            seen.update(zip(new, textcodes.shingle_sets(new, k), strict=True))
+            held += sum(map(len, new))
+            seen.update(zip(new, (s for s, _ in textcodes.shingled(new, k, numbers)), strict=True))
             linked = []
             for a, b in zip(a_text, b_text, strict=True):
                 x, y = seen[a], seen[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            if sum(map(len, seen)) > 4_000_000:  # code points
-                seen.clear()
+                both = x.shared(y)
+                linked.append(both > 0 and 100 * both >= percent * (x.size + y.size - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     return run
 
 
+_SETS = "node long, part binary, tokens array<long>"
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textcodes.pieces(batches, 256):
+            found = list(textcodes.shingled(batch.column(1).to_pylist(), k))
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(*x) for x in found], pa.binary()), _lists([s.hashes.view(np.int64) for s, _ in found])], names=["node", "part", "tokens"])
+
+    return run
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """``table`` with the hint to broadcast it if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _near(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and folded sketches allow a link."""
     side = lambda n: light.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}"))
@@ -160,12 +222,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """Those of ``pairs`` that the whole texts bear out."""
     pairs = materialize(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = texts.join(_few(materialize(wanted, "wanted")), "doc_id", "left_semi")
     # While the pairs are few they go to the texts, so only texts of pairs are shuffled, and once.
-    asked = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    both = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).join(asked, "b")
+    both = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).join(_few(pairs), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a")
     return materialize(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
@@ -181,44 +240,38 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     a row with a null doc_id links with nothing and has a null component. An empty table gives no
     rows; other columns are ignored.
 
-    Documents with one set are one class, of which only the smallest doc_id is compared. In a bucket
-    of equal chunks all members are compared with the smallest; members that then still lie in other
-    components are compared across components, so no link is lost and no group is paired with itself.
+    Documents with one set (by a 128-bit digest) are one class, of which only the smallest doc_id is compared. In a
+    bucket of equal chunks all members are compared with the smallest. Where some of them then still lie apart from
+    it, the bucket's members meet again by their rarest shingles (``rare_first``), so no link is lost and no
+    bucket is paired with itself. A pair links by its words, not by hashes of them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = materialize(texts.mapInArrow(_features(k, percent), _FEATURES), "sketches")
     known = features.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    copies = known.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").select("doc_id", "digest", "class_id")
-    copies = materialize(copies.filter("doc_id != class_id"), "copies")
-    few = copies.count() <= BROADCAST_ROWS
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).filter("class_id < last")
+    classes = _few(materialize(classes.select("digest", "class_id"), "classes"))
+    copies = materialize(known.select("doc_id", "digest").join(classes, "digest").filter("doc_id != class_id"), "copies")
     # A doc_id with several texts goes in the class of its copy only.
-    gone = copies.select("doc_id", "digest").distinct()
-    apart = known.join(F.broadcast(gone) if few else gone, ["doc_id", "digest"], "left_anti")
-    keyed = apart.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("id"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-    buckets = materialize(buckets.filter(F.col("hub") < F.col("last")), "buckets")
-    twos = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).distinct()
-    large = buckets.filter("n > 2").select("key", "hub")
-    # Keys grow with the input, so this join is shuffled at every size.
-    members = materialize(keyed.join(large.hint("merge"), "key").filter("id != hub"), "members")
+    apart = known.join(_few(copies.select("doc_id", "digest").distinct()), ["doc_id", "digest"], "left_anti")
+    keyed = apart.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys.
+    members = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_members, _MEMBERS)
+    members = materialize(members, "members")
     light = apart.select("doc_id", "n_shingles", "sketch")
-    pairs = twos.unionByName(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+    pairs = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     known_texts = texts.filter(F.col("doc_id").isNotNull())
     links = _linked(_near(pairs, light, percent), known_texts, k, percent)
     found = materialize(components(links), "components")
 
     named = lambda df, name, out: df.join(found.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
-    strays = named(named(members, "id", "c"), "hub", "hub_c").filter("c != hub_c")
-    strays = materialize(strays.select("key", "id", "c", "hub_c").distinct(), "strays")
-    if strays.limit(1).count():
-        # Members apart from their bucket's first: against members of the first's component, and with each other.
-        own = named(members, "id", "c").join(strays.select("key", "hub_c").distinct(), "key").filter("c = hub_c")
-        full = lambda df, n: df.select("key", F.col("id").alias(n), F.col("c").alias(f"c_{n}")).join(light.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}")), n)
-        rest = full(strays, "b")
-        more = full(own, "a").join(rest, "key").filter(_close(percent)).select("a", "b").distinct()
-        among = full(strays, "a").join(rest, "key").filter((F.col("c_a") < F.col("c_b")) & _close(percent)).select("a", "b").distinct()
-        late = _linked(more.unionByName(among).distinct(), known_texts, k, percent)
+    # Buckets of three or more, with members that lie apart from the first.
+    places = materialize(named(named(members, "id", "c"), "hub", "hub_c"), "places")
+    mixed = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("c") != F.col("hub_c")).alias("mixed")).filter("n > 1 AND mixed")
+    crowd = materialize(places.join(mixed.select("key"), "key").select(F.col("id").alias("doc_id"), "c").distinct(), "crowd")
+    if crowd.limit(1).count():
+        sets = known_texts.join(_few(crowd.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k), _SETS)
+        sets = sets.filter(F.col("part").isNotNull()).join(crowd.withColumnRenamed("doc_id", "node"), "node")
+        late = _linked(_near(rare_pairs(sets, percent), light, percent), known_texts, k, percent)
         links = links.unionByName(late)
         found = materialize(components(links), "components")
 
@@ -234,8 +287,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 
 
 def keep_smallest(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; rows that link with nothing all stay."""
+    """``docs`` with the smallest doc_id of each component only.
+
+    Rows that link with nothing all stay: null and blank texts, null identifiers, and rows that repeat the
+    kept identifier. An empty table stays empty. Columns may have any names.
+    """
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = materialize(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = materialize(found.filter("component_id != doc_id").select("doc_id").distinct(), "near-copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.join(_few(gone), "doc_id", "left_anti").select("row.*")

@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
@@ -85,7 +86,8 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points; equal spans hash alike wherever they stand."""
+    """A 64-bit hash of each span of code points; equal spans hash alike wherever they stand. It is a polynomial, so
+    texts can be made that collide: it serves to hash features and to find what ``spans`` then compares."""
     up, down = powers(len(codes) + 1)
     x = (codes.astype(U) + U(1)) * _M3
     x ^= x >> U(32)
@@ -96,6 +98,43 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * _M2)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value among the distinct ones, and where each of these is first met."""
+    coded = pa.array(h.view(np.int64)).dictionary_encode()
+    place = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return place, first
+
+
+def spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct texts of spans that don't overlap, and the place of each span among them.
+
+    Spans of one hash are compared in full with the first of them; where any differs, all are told apart as strings.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    whole = codes.tobytes().decode("utf-32-le")
+    place, first = distinct(span_hashes(codes, starts, ends))
+    a, length = starts[first][place], ends - starts
+    shift = np.zeros(len(codes) + 1, np.int64)
+    shift[starts] += a - starts
+    shift[ends] -= a - starts
+    twin = np.cumsum(shift[:-1])
+    twin += np.arange(len(codes))
+    np.minimum(twin, len(codes) - 1, out=twin)
+    if (length != length[first][place]).any() or (codes[twin] != codes).any():
+        known: dict[str, int] = {}
+        place = np.array([known.setdefault(whole[i:j], len(known)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return list(known), place
+    return [whole[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], place
+
+
+def strong_hashes(words: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of each word, from XXH3 over its bytes."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode()) for w in words]), U).reshape(-1, 2)
+
+
 def roll(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k words, texts' borders not heeded."""
     rolled = np.zeros(max(0, len(words) - k + 1), U)
@@ -104,26 +143,48 @@ def roll(words: np.ndarray, k: int) -> np.ndarray:
     return rolled
 
 
-def shingles(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
-    """Each text's hashes of its runs of k words; a text of fewer words gives one, of none no hash."""
-    rolled, out = roll(words, k), []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(rolled[a : b - k + 1])
-        elif b > a:
-            short = np.zeros(1, U)
-            for w in words[a:b]:
-                short = mix(short * _M3 + w)
-            out.append(mix(short + U(b - a)))
-        else:
-            out.append(np.zeros(0, U))
-    return out
-
-
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of each lower-cased (A-Z) text."""
+class Shingled:
+    """The set of a text's k-word shingles: sorted hashes, where each is first met, their number, and the words' numbers.
+
+    A text of fewer than k words is one shingle, one without words none. Shingles of one hash are
+    compared word by word, so ``size`` is exact, and so is ``shared``.
+    """
+
+    def __init__(self, words: np.ndarray, hashes: np.ndarray, k: int):
+        self.words, self.k = words, min(k, len(words))
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.hashes, self.first = ordered[new], order[new]
+        self.size = len(self.hashes)
+        again = np.flatnonzero(~new)
+        if len(again) and not self._same(order[again - 1], self, order[again]).all():
+            self.size = len(np.unique(np.lib.stride_tricks.sliding_window_view(words, self.k), axis=0))
+
+    def _same(self, at: np.ndarray, other: Shingled, there: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([self.words[at + i] == other.words[there + i] for i in range(self.k)])
+
+    def shared(self, other: Shingled) -> int:
+        """How many shingles both sets hold; the words of both must be numbered alike."""
+        _, x, y = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        return int(self._same(self.first[x], other, other.first[y]).sum()) if len(x) and self.k == other.k else 0
+
+
+def shingled(texts: list[str | None], k: int, numbers: dict[str, int] | None = None) -> Iterator[tuple[Shingled, int]]:
+    """Each lower-cased (A-Z) text's set, and a second hash of it. ``numbers`` keeps words' numbers alike over calls."""
     for _, codes, offsets in slices(texts):
         codes = lower_ascii(codes)
         starts, ends, first = runs(~blank(codes), offsets)
-        for found in shingles(span_hashes(codes, starts, ends), first, k):
-            yield np.unique(found)
+        words, place = spans(codes, starts, ends)
+        h = strong_hashes(words)
+        own = place if numbers is None else np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)[place]
+        one, two = h[place, 0], h[place, 1]
+        rolled, second = roll(one, k), roll(two, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                found, more = rolled[a : b - k + 1], second[a : b - k + 1]
+            else:  # all words as one shingle, or none
+                found, more = (mix(roll(x[a:b], b - a) + U(b - a)) if b > a else x[:0] for x in (one, two))
+            s = Shingled(own[a:b], found, k)
+            yield s, int(more[s.first].sum())

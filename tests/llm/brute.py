@@ -28,6 +28,12 @@ def awkward() -> list[dict]:
     return [{"doc_id": r["doc_id"], "text": r["text"], "lang": r["lang"], "source": r["source"], "n_chars": None, "keep_id": "x", "key": 1, "a": 2, "b": 3, "n": 4} for r in rows]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters a and b that collide in any polynomial hash modulo a power of two (from n = 1024 on)."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def frame(spark, rows: list[dict]):
     return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in SCHEMA.split(", ")) for r in rows], SCHEMA)
 
