@@ -1,18 +1,14 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-The distinct words of the corpus are found first. Each is an array of one-byte pieces, on which
-``aggregate`` folds ranked merges, looking ranks up in a literal map; pieces are strings of
-ISO-8859-1, one character for a byte. Then every text is encoded word by word from that
-dictionary, and decoded by concatenating the tokens' binary pieces.
-
-The most frequent words go to the tasks by broadcast, at most ``FREQUENT_WORDS`` of them; the
-other words of each text are joined to it by a shuffle, so the dictionary may be of any size.
+``aggregate`` folds ranked merges over the bytes of a word, looking ranks up in a literal map; bytes are
+characters of ISO-8859-1. The common words of a bounded sample of the texts are folded first and broadcast;
+any other word is folded in the row of the text that holds it, once for each text, so nothing is shuffled
+but the sample's words. Decoding concatenates the tokens' binary pieces.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -26,13 +22,14 @@ from pyspark.sql import functions as F
 from . import pretokens, textcodes
 from .shared import materialize
 
-#: Bound of the broadcast part of the dictionary, in words.
-FREQUENT_WORDS = 1 << 22
+#: The words that are broadcast are at most so many, of at most so many bytes each (so under 400 MB, 40 MB as a rule),
+#: and come from about so many rows. They only save work: the rows of the result don't depend on them.
+COMMON_WORDS, COMMON_BYTES, SAMPLE_ROWS = 1 << 20, 64, 50_000
 #: Maps that the literal rank map is dealt to by crc32; a lookup reads one of them.
 RANK_BUCKETS = 16384
 #: Code points from which a word is cut where no token reaches across.
 LONG_WORD = 48
-#: Words whose encodings a worker keeps as text, and distinct words it gathers before it emits them.
+#: Words that a worker keeps ready, and distinct words it gathers before it emits them.
 KEPT_WORDS, GATHERED_WORDS = 150_000, 300_000
 NO_RANK, PLACES = 2**31 - 1, 1 << 20
 
@@ -57,50 +54,46 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _rank(piece: Column, ranks: Column) -> Column:
+    return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % RANK_BUCKETS).cast("int")), piece)
+
+
 def fold_merges(word: Column, ranks: Column) -> Column:
     """Token ids of ``word`` (a string of bytes as ISO-8859-1): always merge the leftmost pair of lowest rank.
 
-    The state keeps the pieces, with a null at either end, and the rank of each neighbouring pair,
-    so a merge looks up two pairs only.
+    The state is one array with an entry for each piece, rank * PLACES + start, where rank is that of the pair
+    which the piece makes with the next one; the last piece and the end have NO_RANK. So the least entry is
+    the leftmost pair of lowest rank, and a merge drops one entry and looks two ranks up.
     """
-
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % RANK_BUCKETS + 1).cast("int")), piece)
-
-    pair_rank = lambda pair: F.coalesce(rank(pair), F.lit(NO_RANK))
-    edge = F.array(F.lit(None).cast("string"))
-    pieces = F.concat(edge, F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(word, i, F.lit(1))), edge)
-    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.concat(a, b))
-    begin = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(pairs(p), pair_rank).alias("r")))
+    end = F.length(word)
+    entry = lambda start, stop: F.coalesce(_rank(F.substr(word, start + 1, stop - start), ranks), F.lit(NO_RANK)).cast("long") * PLACES + start
+    start = lambda state, i: (F.get(state, i) % PLACES).cast("int")
+    last = F.array(NO_RANK * PLACES + end.cast("long") - 1, NO_RANK * PLACES + end.cast("long"))
+    begin = F.concat(F.transform(F.sequence(F.lit(0), end - 2), lambda i: entry(i, i + 2)), last)
 
     def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        def join(least: Column, place: Column) -> Column:
+            own = (least % PLACES).cast("int")
 
-        def at(i: Column) -> Column:
-            def put(x: Column) -> Column:
-                beside = F.transform(F.array(F.concat(F.element_at(p, i - 1), x), F.concat(x, F.element_at(p, i + 2))), pair_rank)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), i - 2), beside, F.slice(r, i + 2, F.size(r))).alias("r"),
-                )
+            def put(after: Column) -> Column:
+                mine = F.when(after == end, NO_RANK * PLACES + own.cast("long")).otherwise(entry(own, start(state, place + 2)))
+                both = F.when(place == 1, F.array(mine)).otherwise(F.array(_let(start(state, place - 2), lambda left: entry(left, after)), mine))
+                return F.concat(F.slice(state, F.lit(1), F.greatest(place - 2, F.lit(0))), both, F.slice(state, place + 2, F.size(state)))
 
-            return _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), put)
+            return _let(start(state, place + 1), put)
 
-        # Rank and place of the lowest pair in one number; the leftmost of equals is the least.
-        placed = F.array_min(F.transform(r, lambda x, i: x.cast("long") * PLACES + i))
-        next_state = lambda least: F.when(least >= NO_RANK * PLACES, state).otherwise(_let((least % PLACES).cast("int") + 1, at))
-        return _let(placed, next_state)
+        done = lambda least: F.when(least >= NO_RANK * PLACES, state).otherwise(_let(F.array_position(state, least).cast("int"), lambda place: join(least, place)))
+        return _let(F.array_min(state), done)
 
-    merged = F.aggregate(F.sequence(F.lit(2), F.length(word)), begin, merge)["p"]
-    ids = _let(merged, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), rank))
-    whole = rank(word)
-    return F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) == 1, F.array(whole)).otherwise(ids)
+    pieces = F.aggregate(F.sequence(F.lit(2), end), begin, merge)
+    ids = _let(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: _let(start(p, i), lambda a: _rank(F.substr(word, a + 1, start(p, i + 1) - a), ranks))))
+    whole = _rank(word, ranks)
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``words(word binary, ...)`` with column ids, by expressions of Spark alone."""
-    spelled = F.decode("word", "ISO-8859-1")
-    return words.withColumn("ids", _let(rank_literal(ranks), lambda literal: fold_merges(spelled, literal)))
+    return words.withColumn("ids", _let(F.decode("word", "ISO-8859-1"), lambda spelled: fold_merges(spelled, rank_literal(ranks))))
 
 
 @cache
@@ -128,23 +121,22 @@ def words_of(codes: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
 
 
 def _distinct(path: str):
+    """The words of the texts and how often each is used."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list] = {}
+        seen: dict[str, int] = {}
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([w for w, _ in seen.values()], pa.binary()), pa.array([n for _, n in seen.values()], pa.int64())], names=["hash", "word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()).cast(pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
             seen.clear()
             return out
 
         for batch in textcodes.pieces(batches):
             for _, codes, offsets in textcodes.slices(batch.column(0).to_pylist()):
                 starts, ends, _ = words_of(codes, offsets, path)
-                values, place, where = pretokens.distinct(pretokens.hashes(codes, starts, ends))
-                for h, n, i in zip(values.view(np.int64).tolist(), np.bincount(place, minlength=len(values)).tolist(), where.tolist(), strict=True):
-                    if h in seen:
-                        seen[h][1] += n
-                    else:
-                        seen[h] = [pretokens.text_of(codes, starts[i], ends[i]).encode(), n]
+                words, place = textcodes.spans(codes, starts, ends)
+                for word, n in zip(words, np.bincount(place, minlength=len(words)).tolist(), strict=True):
+                    seen[word] = seen.get(word, 0) + n
             if len(seen) > GATHERED_WORDS:
                 yield emit()
         if seen:
@@ -153,113 +145,110 @@ def _distinct(path: str):
     return run
 
 
-class Frequent:
-    """The broadcast part of the dictionary: sorted hashes, and the ids of each as one flat array."""
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of lists, or of binaries as bytes."""
+    parts = [c for c in column.chunks if len(c)]
+    sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in parts]
+    values = [c.flatten().to_numpy() if pa.types.is_list(c.type) else np.frombuffer(b"".join(c.to_pylist()), np.uint8) for c in parts]
+    return np.concatenate([[0], *(np.cumsum(np.concatenate(sizes)) for _ in parts[:1])]).astype(np.int64), np.concatenate(values) if parts else np.zeros(0, np.int32)
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.order, self.starts, self.ids = hashes[order], order.astype(np.int32), starts, ids
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of ``hashes``, -1 where absent."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+class Common:
+    """The broadcast words with their ids, sorted by a hash; a hit counts only if the word's bytes are the same."""
 
-    def ids_of(self, place: int) -> list[int]:
-        return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
+    def __init__(self, table: pa.Table):
+        self.word_at, self.words = _flat(table.column("word"))
+        self.ids_at, self.ids = _flat(table.column("ids"))
+        h = textcodes.strong_hashes(pa.concat_arrays(table.column("word").cast(pa.string()).chunks).to_pylist() if table.num_rows else [])[:, 0]
+        self.order = np.argsort(h).astype(np.int32)
+        self.hashes = h[self.order]
 
+    def find(self, words: list[str]) -> list[list[int] | None]:
+        """The ids of each word, None for one that isn't here."""
+        if not words or not len(self.hashes):
+            return [None] * len(words)
+        h = textcodes.strong_hashes(words)[:, 0]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == h, self.order[at], -1).tolist()
+        held = lambda i, word: i >= 0 and self.words[self.word_at[i] : self.word_at[i + 1]].tobytes() == word.encode()
+        return [self.ids[self.ids_at[i] : self.ids_at[i + 1]].tolist() if held(i, w) else None for i, w in zip(place, words, strict=True)]
 
-def _rare(path: str, shared):
-    """The words of each text that the broadcast part doesn't hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: Frequent = shared.value
-        for batch in textcodes.pieces(batches):
-            rows = batch.column(0).to_numpy()
-            for at, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
-                starts, ends, first = words_of(codes, offsets, path)
-                h = pretokens.hashes(codes, starts, ends).view(np.int64)
-                absent = np.flatnonzero(frequent.find(h) < 0)
-                doc = np.searchsorted(first, absent, "right") - 1
-                pairs = np.unique(np.stack([rows[at + doc], h[absent]], 1), axis=0) if len(absent) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["row", "hash"])
+_PARTS = "doc_id long, n long, ids array<string>, decoded array<string>, rare array<binary>"
 
-    return run
 
+def _parts(path: str, shared):
+    """Each text's ids and decoded text between the words that aren't common, and these words, each once."""
 
-def _apply(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: Frequent = shared.value
+        common: Common = shared.value
         pieces = {rank: token for token, rank in load_ranks(path).items()}
-        kept: dict[int, tuple[int, str, bytes]] = {}
-        told = lambda ids: (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]))
-        for batch in textcodes.pieces(batches):
-            texts, rare = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = []
-            for at, codes, offsets in textcodes.slices(texts):
+        told = lambda ids: ids and (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]).decode())
+        kept: dict[str, tuple[int, str, str] | None] = {}
+        for batch in textcodes.pieces(batches, 256):
+            out: list[list] = [[], [], [], []]
+            for _, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
                 starts, ends, first = words_of(codes, offsets, path)
-                values, place, _ = pretokens.distinct(pretokens.hashes(codes, starts, ends))
-                keys = values.view(np.int64).tolist()
+                words, place = textcodes.spans(codes, starts, ends)
                 if len(kept) > KEPT_WORDS:
                     kept.clear()
-                own = {r["hash"]: r["ids"] for doc in rare[at : at + len(offsets) - 1] for r in doc or ()}
-                new = [i for i, k in enumerate(keys) if k not in kept]
-                for i, found in zip(new, frequent.find(values[new].view(np.int64)).tolist(), strict=True):
-                    kept[keys[i]] = told(frequent.ids_of(found) if found >= 0 else own[keys[i]])
-                entries = [kept[k] for k in keys]
-                sizes = np.concatenate(([0], np.cumsum(np.array([e[0] for e in entries], np.int64)[place] if len(place) else np.zeros(0, np.int64))))
+                new = [w for w in words if w not in kept]
+                kept.update(zip(new, map(told, common.find(new)), strict=True))
+                entries = [kept[w] for w in words]
+                count = np.array([e[0] if e else 0 for e in entries], np.int64)
+                sums = np.concatenate(([0], np.cumsum(count[place]))) if len(place) else np.zeros(1, np.int64)
+                rare = np.flatnonzero(count[place] == 0) if len(place) else place
                 listed = place.tolist()
+                ids, texts = [entries[p][1] if entries[p] else words[p] for p in range(len(words))], [e[2] if e else "" for e in entries]
+                ids, texts = [ids[p] for p in listed], [texts[p] for p in listed]
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    mine = [entries[p] for p in listed[a:b]]
-                    ids = ",".join([e[1] for e in mine])
-                    out.append((int(sizes[b] - sizes[a]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([e[2] for e in mine])).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.string()) for i in range(3))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    cuts = rare[np.searchsorted(rare, a) : np.searchsorted(rare, b)].tolist()
+                    bounds = list(zip([a, *(c + 1 for c in cuts)], [*cuts, b], strict=True))
+                    out[0].append(int(sums[b] - sums[a]))
+                    out[1].append([",".join(ids[i:j]) if i < j else None for i, j in bounds])
+                    out[2].append(["".join(texts[i:j]) for i, j in bounds])
+                    out[3].append([ids[c].encode() for c in cuts])
+            types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n", "ids", "decoded", "rare"])
 
     return run
 
 
-def dictionary(texts: DataFrame, path: str) -> DataFrame:
-    """hash, word, n, ids of every distinct word of ``texts(text)``, kept in the shared folder."""
-    found = texts.select("text").mapInArrow(_distinct(path), "hash long, word binary, n long")
-    words = found.groupBy("hash", "word").agg(F.sum("n").alias("n"))
-    return materialize(encode_words(words, load_ranks(path)).select("hash", "n", "ids"), "bpe-words")
-
-
-def frequent_part(words: DataFrame, most: int) -> tuple[Frequent, int]:
-    """The words used more often than the returned number of times, at most ``most`` of them."""
-    used = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas() if words.count() > most else None
-    least = 0
-    if used is not None:
-        beyond = used["words"].cumsum() > most
-        least = int(used["n"][beyond].iloc[0])
-    table = words.filter(F.col("n") > least).select("hash", "ids").toArrow().combine_chunks()
-    hashes = table.column("hash").to_numpy()
-    lists = table.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):  # no rows
-        lists = pa.array([], pa.list_(pa.int32()))
-    return Frequent(hashes, lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32), lists.flatten().to_numpy()), least
+def common_words(rows: DataFrame, path: str, most: int = COMMON_WORDS, sample_rows: int = SAMPLE_ROWS) -> Common:
+    """At most ``most`` of the words of about ``sample_rows`` rows, those used most often, with their ids."""
+    every = max(1, rows.count() // sample_rows)
+    found = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(_distinct(path), "word binary, n long")
+    words = found.filter(F.octet_length("word") <= COMMON_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(words.withColumn("turn", F.col("n") * 64 + F.pmod(F.xxhash64("word"), F.lit(64))), "bpe-words")
+    used = words.groupBy("turn").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("turn")).toPandas()
+    beyond = used["words"].cumsum() > most
+    chosen = words.filter(F.col("turn") > int(used["turn"][beyond].iloc[0])) if beyond.any() else words
+    return Common(encode_words(chosen.select("word"), load_ranks(path)).toArrow())
 
 
-def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_WORDS) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256.
 
     Ranks are those of the file at ``path``, which every worker reads; each match of the public
     pattern is encoded by itself, special strings as plain text. Null texts are empty and have no
     tokens; an empty table gives no rows; repeated rows are encoded each; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    words = dictionary(rows, path)
-    frequent, least = frequent_part(words, most)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if not least:
-        return rows.withColumn("rare", F.lit(None).cast("array<struct<hash:bigint,ids:array<int>>>")).mapInArrow(_apply(path, shared), out)
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    pairs = rows.select("row", "text").mapInArrow(_rare(path, shared), "row long, hash long").distinct()
-    pairs = pairs.join(words.filter(F.col("n") <= least).select("hash", "ids"), "hash")
-    lists = pairs.groupBy("row").agg(F.collect_list(F.struct("hash", "ids")).alias("rare"))
-    return rows.join(lists, "row", "left").select("doc_id", "text", "rare").mapInArrow(_apply(path, shared), out)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ranks = load_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(rows, path, most))
+    parts = rows.mapInArrow(_parts(path, shared), _PARTS)
+    literal = rank_literal(ranks)
+    fold = lambda word: _let(F.decode(word, "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))
+    # Words of a text that aren't common are folded once each; map keys can't be null, but there are none.
+    distinct = parts.withColumn("own", F.array_distinct("rare"))
+    folded = distinct.withColumn("own_ids", F.transform("own", fold)).withColumn("rare_ids", F.transform("rare", lambda w: F.get("own_ids", F.array_position("own", w).cast("int") - 1)))
+    tokens = F.from_json(F.lit(json.dumps([t.decode("latin-1") for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
+    places = {r: i for i, r in enumerate(sorted(ranks.values()))}
+    if any(r != i for r, i in places.items()):
+        raise ValueError("ranks must be 0 to their number less one")
+    spelled = lambda ids: F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""), "ISO-8859-1"), "UTF-8")
+    between = lambda parts, words: F.flatten(F.zip_with(parts, words, lambda a, b: F.array(a, b)))
+    ids = F.concat_ws(",", between(F.col("ids"), F.transform("rare_ids", lambda r: F.array_join(r, ","))))
+    decoded = F.concat_ws("", between(F.col("decoded"), F.transform("rare_ids", spelled)))
+    n_tokens = F.col("n") + F.aggregate("rare_ids", F.lit(0), lambda total, r: total + F.size(r))
+    return folded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"))

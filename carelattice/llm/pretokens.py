@@ -7,13 +7,11 @@ of characters changes; a space before anything but white space goes with what fo
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 
 from . import letters, textcodes
 
-U = np.uint64
 #: Distinct pre-tokens that a worker's memo holds before it starts anew (about 200 bytes each).
-MEMO = 1_000_000
+MEMO = 600_000
 _APOSTROPHE = 39
 
 
@@ -57,42 +55,22 @@ def split(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
 
 
-def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return textcodes.span_hashes(codes, starts, ends)
-
-
-def text_of(codes: np.ndarray, start: int, end: int) -> str:
-    return codes[start:end].tobytes().decode("utf-32-le")
-
-
-def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, the place of each value among them, and where each is first met."""
-    coded = pa.array(h.view(np.int64)).dictionary_encode()
-    place = coded.indices.to_numpy()
-    first = np.empty(len(coded.dictionary), np.int64)
-    first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
-    return coded.dictionary.to_numpy().view(U), place, first
-
-
 class Memo:
-    """Pre-token hash to the ids it encodes to, filled by ``encode(words) -> lists of ids`` for new ones."""
+    """Pre-token to what it encodes to, filled by ``encode(words) -> values`` for new ones."""
 
-    def __init__(self, encode, known: dict[int, tuple] | None = None):
+    def __init__(self, encode, known: dict[str, object] | None = None):
         self.encode, self.known = encode, dict(known or {})
         self.start = dict(self.known)
 
-    def ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list]:
-        """The place of each pre-token among the slice's distinct ones, and the ids of these."""
-        values, place, first = distinct(hashes(codes, starts, ends))
-        keys = values.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+    def values(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list]:
+        """The place of each pre-token among the slice's distinct ones, and the values of these."""
+        words, place = textcodes.spans(codes, starts, ends)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMO:
             self.known = dict(self.start)
-            new = [i for i, k in enumerate(keys) if k not in self.known]
-        words = [text_of(codes, starts[first[i]], ends[first[i]]) for i in new]
-        for i, ids in zip(new, self.encode(words), strict=True):
-            self.known[keys[i]] = ids
-        return place, [self.known[k] for k in keys]
+            new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self.encode(new), strict=True))
+        return place, [self.known[w] for w in words]
 
 
 def ragged(lists: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +82,3 @@ def ragged(lists: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = int(length.sum())
     shift = np.repeat(starts[place] - (np.cumsum(length) - length), length)
     return flat[shift + np.arange(total)], length
-
-
-__all__ = ["MEMO", "Memo", "distinct", "hashes", "ragged", "split", "text_of"]

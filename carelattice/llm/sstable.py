@@ -160,7 +160,7 @@ def _build(path: str, end_id: int, shard_bytes: int):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, codes, offsets in textcodes.slices(texts):
                 starts, ends, first = pretokens.split(codes, offsets)
-                place, lists = memo.ids(codes, starts, ends)
+                place, lists = memo.values(codes, starts, ends)
                 ids, length = pretokens.ragged(lists, place)
                 bounds = np.concatenate(([0], np.cumsum(length)))[first].tolist()
                 for i in range(len(offsets) - 1):

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import bytelevel, pretokens, textcodes
 
 
-def single_tokens(path: str) -> np.ndarray:
-    """Sorted hashes of the vocabulary's strings that are one pre-token and, alone, encode as one token."""
+def single_tokens(path: str) -> list[str]:
+    """The vocabulary's strings that are one pre-token and, alone, encode as one token."""
     tokenizer = bytelevel.load(path)
     bytes_of = {ord(c): b for b, c in bytelevel.byte_alphabet().items()}
     strings = []
@@ -31,24 +31,23 @@ def single_tokens(path: str) -> np.ndarray:
             continue
     strings = [s for s, e in zip(strings, tokenizer.encode_batch(strings, add_special_tokens=False), strict=True) if s and len(e.ids) == 1]
     found = []
-    for _, codes, offsets in textcodes.slices(strings):
-        starts, ends, first = pretokens.split(codes, offsets)
-        alone = first[:-1][np.diff(first) == 1]
-        found.append(pretokens.hashes(codes, starts[alone], ends[alone]))
-    return np.unique(np.concatenate(found))
+    for at, codes, offsets in textcodes.slices(strings):
+        _, _, first = pretokens.split(codes, offsets)
+        found += [strings[at + i] for i in np.flatnonzero(np.diff(first) == 1).tolist()]
+    return found
 
 
 def _counts(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = bytelevel.load(path)
         special = bytelevel.special_strings(tokenizer)
-        memo = pretokens.Memo(lambda words: [len(x) for x in bytelevel.encode_words(tokenizer, words)], {h: 1 for h in shared.value.tolist()})
+        memo = pretokens.Memo(lambda words: [len(x) for x in bytelevel.encode_words(tokenizer, words)], dict.fromkeys(shared.value, 1))
         for batch in textcodes.pieces(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             total = np.zeros(len(texts), np.int64)
             for at, codes, offsets in textcodes.slices(texts):
                 starts, ends, first = pretokens.split(codes, offsets)
-                place, counts = memo.ids(codes, starts, ends)
+                place, counts = memo.values(codes, starts, ends)
                 sums = np.concatenate(([0], np.cumsum(np.array(counts, np.int64)[place] if len(place) else np.zeros(0, np.int64))))
                 total[at : at + len(offsets) - 1] = sums[first[1:]] - sums[first[:-1]]
             for i, text in enumerate(texts):
