@@ -145,23 +145,31 @@ def _distinct(path: str):
     return run
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of lists, or of binaries as bytes."""
-    parts = [c for c in column.chunks if len(c)]
-    sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in parts]
-    values = [c.flatten().to_numpy() if pa.types.is_list(c.type) else np.frombuffer(b"".join(c.to_pylist()), np.uint8) for c in parts]
-    return np.concatenate([[0], *(np.cumsum(np.concatenate(sizes)) for _ in parts[:1])]).astype(np.int64), np.concatenate(values) if parts else np.zeros(0, np.int32)
+_PACKED = "hashes binary, word_sizes binary, words binary, id_sizes binary, ids binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their ids as flat arrays, one row a batch."""
+    for batch in batches:
+        words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        if words:
+            hashes = textcodes.strong_hashes([w.decode() for w in words])[:, 0]
+            sizes = [np.fromiter(map(len, x), np.int32, len(x)) for x in (words, ids)]
+            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[1].sum()))
+            cells = (hashes.tobytes(), sizes[0].tobytes(), b"".join(words), sizes[1].tobytes(), flat.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
 class Common:
     """The broadcast words with their ids, sorted by a hash; a hit counts only if the word's bytes are the same."""
 
-    def __init__(self, table: pa.Table):
-        self.word_at, self.words = _flat(table.column("word"))
-        self.ids_at, self.ids = _flat(table.column("ids"))
-        h = textcodes.strong_hashes(pa.concat_arrays(table.column("word").cast(pa.string()).chunks).to_pylist() if table.num_rows else [])[:, 0]
-        self.order = np.argsort(h).astype(np.int32)
-        self.hashes = h[self.order]
+    def __init__(self, packed: pa.Table):
+        whole = lambda name, kind: np.frombuffer(b"".join(packed.column(name).to_pylist()), kind)
+        ends = lambda name: np.concatenate(([0], np.cumsum(whole(name, np.int32), dtype=np.int64)))
+        self.word_at, self.words, self.ids_at, self.ids = ends("word_sizes"), whole("words", np.uint8), ends("id_sizes"), whole("ids", np.int32)
+        hashes = whole("hashes", np.uint64)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
 
     def find(self, words: list[str]) -> list[list[int] | None]:
         """The ids of each word, None for one that isn't here."""
@@ -223,7 +231,9 @@ def common_words(rows: DataFrame, path: str, most: int = COMMON_WORDS, sample_ro
     used = words.groupBy("turn").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("turn")).toPandas()
     beyond = used["words"].cumsum() > most
     chosen = words.filter(F.col("turn") > int(used["turn"][beyond].iloc[0])) if beyond.any() else words
-    return Common(encode_words(chosen.select("word"), load_ranks(path)).toArrow())
+    # Few bytes, but much work for each, so they are spread over all tasks.
+    spread = chosen.select("word").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return Common(encode_words(spread, load_ranks(path)).mapInArrow(_pack, _PACKED).toArrow())
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON_WORDS) -> DataFrame:
