@@ -182,11 +182,11 @@ class Common:
         return [self.ids[self.ids_at[i] : self.ids_at[i + 1]].tolist() if held(i, w) else None for i, w in zip(place, words, strict=True)]
 
 
-_PARTS = "doc_id long, n long, ids array<string>, decoded array<string>, rare array<binary>"
+_PARTS = "doc_id long, n long, ids array<string>, decoded array<string>, own array<binary>, rare array<int>"
 
 
 def _parts(path: str, shared):
-    """Each text's ids and decoded text between the words that aren't common, and these words, each once."""
+    """Each text's ids and decoded text between the words that aren't common, these words, each once, and which of them stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: Common = shared.value
@@ -194,7 +194,7 @@ def _parts(path: str, shared):
         told = lambda ids: ids and (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]).decode())
         kept: dict[str, tuple[int, str, str] | None] = {}
         for batch in textcodes.pieces(batches, 256):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for _, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
                 starts, ends, first = words_of(codes, offsets, path)
                 words, place = textcodes.spans(codes, starts, ends)
@@ -215,9 +215,11 @@ def _parts(path: str, shared):
                     out[0].append(int(sums[b] - sums[a]))
                     out[1].append([",".join(ids[i:j]) if i < j else None for i, j in bounds])
                     out[2].append(["".join(texts[i:j]) for i, j in bounds])
-                    out[3].append([ids[c].encode() for c in cuts])
-            types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n", "ids", "decoded", "rare"])
+                    own: dict[str, int] = {}
+                    out[4].append([own.setdefault(ids[c], len(own)) for c in cuts])
+                    out[3].append([w.encode() for w in own])
+            types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n", "ids", "decoded", "own", "rare"])
 
     return run
 
@@ -249,9 +251,8 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     parts = rows.mapInArrow(_parts(path, shared), _PARTS)
     literal = rank_literal(ranks)
     fold = lambda word: _let(F.decode(word, "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))
-    # Words of a text that aren't common are folded once each; map keys can't be null, but there are none.
-    distinct = parts.withColumn("own", F.array_distinct("rare"))
-    folded = distinct.withColumn("own_ids", F.transform("own", fold)).withColumn("rare_ids", F.transform("rare", lambda w: F.get("own_ids", F.array_position("own", w).cast("int") - 1)))
+    # Bound once by ``_let``, or the fold would be evaluated for each place that a word stands at.
+    folded = parts.withColumn("rare_ids", _let(F.transform("own", fold), lambda own: F.transform("rare", lambda i: F.get(own, i))))
     tokens = F.from_json(F.lit(json.dumps([t.decode("latin-1") for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
     places = {r: i for i, r in enumerate(sorted(ranks.values()))}
     if any(r != i for r, i in places.items()):

@@ -113,20 +113,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; of rows repeated with one identifier and text one stays."""
+    """``docs`` without the rows that ``exact_dedup`` drops, one row of each group of equal texts.
+
+    Where the identifier that stays has several rows with that text, the row with the most code points stays, then the
+    smallest text, then the smallest row as JSON. Null and empty texts are one group; null identifiers come last.
+    An empty table stays empty; columns may have any names.
+    """
     found = materialize(exact_dedup(docs, id_col, text_col), "dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mark = F.substring("text_sha256", 1, 32)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), mark.alias("_mark")).distinct()
-    again = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": F.substring(F.sha2(F.translate(text, BLANKS, ""), 256), 1, 32)})
-    few = gone.count() <= BROADCAST_ROWS
-    mixed = found.groupBy("doc_id", "text_sha256").agg(F.countDistinct("kept").alias("n")).filter("n > 1")
-    if again.unionByName(mixed.withColumnRenamed("n", "count")).limit(1).count():
-        # One identifier with one text in several rows: keep the row with the most code points.
-        best = F.max_by(F.struct(*docs.columns), F.char_length(text))
-        kept = found.filter("kept").select(F.col("doc_id").alias("_id"), mark.alias("_mark")).distinct()
-        one = rows.groupBy("_id", "_mark").agg(best.alias("row"))
-        return one.join(kept, (one["_id"].eqNullSafe(kept["_id"])) & (one["_mark"] == kept["_mark"]), "left_semi").select("row.*")
-    side = F.broadcast(gone.toDF("_gone", "_gone_mark")) if few else gone.toDF("_gone", "_gone_mark")
-    return rows.join(side, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_mark") == F.col("_gone_mark")), "left_anti").select(*docs.columns)
+    mark = lambda sha: F.substring(sha, 1, 32)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), mark(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("mark"), text.alias("text"))
+    same = lambda side: F.col("id").eqNullSafe(side["of_id"]) & (F.col("mark") == side["of_mark"])
+    side = lambda which: found.filter(which).select(F.col("doc_id").alias("of_id"), mark("text_sha256").alias("of_mark")).distinct()
+    if found.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
+        stays = side("kept")
+        best = F.min_by("row", F.struct(-F.char_length("text"), "text", F.to_json("row")))
+        return rows.join(stays, same(stays), "left_semi").groupBy("id", "mark").agg(best.alias("row")).select("row.*")
+    gone = side("NOT kept")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, same(gone), "left_anti").select("row.*")

@@ -43,22 +43,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     return sources.select("source", "source_size", "docs", target.alias("target"))
 
 
-def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """Each row of ``docs`` with its place in the mix, range-sorted by virtual finish time.
-
-    Columns: doc_id, source, text_hash, size (words of ``[^\\x20\\x09-\\x0D]+``, null text 0), source_size,
-    target (words), begins (words of its source before it in the shuffled order), finish (virtual
-    finish time: words of its source up to its end, divided by the target), finish_2 (of its
-    second turn), taken (words).
-
-    A source's documents are queued in an order shuffled by a hash of identifier and text, and
-    queued again after that while its target asks for it. All sources are served at the rate of
-    their targets, so the total budget, which the targets add up to, is spent at virtual time 1;
-    a document being served then is cut there, so every source takes its rounded target. No
-    document exceeds ``REPEATS`` times its size. Empty texts take 0; a source without words has
-    target 0. A null source is one source; rows repeated with one identifier are queued each.
-    Reruns agree, up to which of two rows alike in identifier and text is which.
-    """
+def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Each row's place in its source's shuffled queue: begins, the words before it; with its source's size and target."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
@@ -69,7 +55,7 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     largest = targets.agg(F.max("docs")).first()[0] or 0
     bits = max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, largest / BUCKET_ROWS))))
     # Buckets are the leading bits of the shuffled order, so running totals need no source in one task.
-    sized = sized.withColumn("bucket", F.shiftrightunsigned("text_hash", 64 - bits)).withColumn("turn", F.col("text_hash").bitwiseAND((1 << 63) - 1))
+    sized = sized.withColumn("bucket", F.shiftrightunsigned("text_hash", 64 - bits))
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset")
@@ -79,22 +65,83 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One row for each source: broadcast by Spark where its measured size allows it.
     targets = targets.select(F.col("source").alias("t"), "source_size", "target")
     queued = queued.join(targets, F.col("source").eqNullSafe(F.col("t"))).withColumn("begins", F.col("offset") + F.col("ahead"))
-    goal = F.round("target").cast("long")
-    turns = [F.least(F.col("size"), F.greatest(F.lit(0), goal - F.col("begins") - i * F.col("source_size"))) for i in range(REPEATS)]
-    queued = queued.withColumn("taken", sum(turns[1:], turns[0]))
-    for i in range(REPEATS):
-        ends = F.col("begins") + F.col("size") + i * F.col("source_size")
-        queued = queued.withColumn("finish" if i == 0 else f"finish_{i + 1}", F.when(F.col("target") > 0, ends / F.col("target")))
-    queued = queued.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins", *("finish" if i == 0 else f"finish_{i + 1}" for i in range(REPEATS)), "taken")
-    return queued.repartitionByRange("finish", "text_hash").sortWithinPartitions("finish", "text_hash")
+    return queued.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins")
+
+
+#: The order of the mix: by virtual finish time; the others only settle ties.
+_ORDER = ("finish", "text_hash", "tie", "turn")
+
+
+def _turns(queued: DataFrame) -> list:
+    """The keys of a row's turns in the order of the mix; a source is served at the rate of its target."""
+    ends = lambda i: (F.col("begins") + F.col("size") + i * F.col("source_size")) / F.col("target")
+    keys = lambda i: (ends(i), F.col("text_hash"), F.xxhash64("source", "doc_id"), F.lit(i))
+    return [F.struct(*(c.alias(n) for c, n in zip(keys(i), _ORDER, strict=True))) for i in range(REPEATS)]
+
+
+def _cut(queued: DataFrame) -> tuple | None:
+    """Where the running total of all turns, in the order of the mix, reaches the budget: the key of that turn and its words before the cut.
+
+    The range sort deals the turns to partitions in order; only one total of each partition reaches the driver,
+    and only the partition that the budget ends in is walked row by row.
+    """
+    spark = queued.sparkSession
+    turns = queued.filter("size > 0 AND target > 0").select("size", F.explode(F.array(*_turns(queued))).alias("at")).select("size", "at.*")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = materialize(turns.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()), "turns")
+    totals = ordered.groupBy("part").agg(F.sum("size").alias("words")).orderBy("part").toPandas()
+    targets = queued.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0]
+    budget, before = round(targets or 0), 0
+    for part, words in totals.itertuples(index=False):
+        if before + words >= budget > 0:
+            running = Window.partitionBy("part").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            reached = ordered.filter(F.col("part") == int(part)).withColumn("total", F.sum("size").over(running) + int(before)).filter(F.col("total") >= budget)
+            last = reached.orderBy(*_ORDER).first()
+            return tuple(last[c] for c in _ORDER), int(budget - (last["total"] - last["size"]))
+        before += words
+    return None
+
+
+def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """Each row of ``docs`` with its place in the mix, range-sorted by virtual finish time.
+
+    Columns: doc_id, source, text_hash, size (words of ``[^\\x20\\x09-\\x0D]+``, null text 0), source_size,
+    target (words), begins (words of its source before it in the shuffled order), finish (virtual
+    finish time: words of its source up to its end, divided by the target), finish_2 (of its
+    second turn), taken (words).
+
+    A source's documents are queued in an order shuffled by a hash of identifier and text, and
+    queued again after that, up to ``REPEATS`` times. All turns of all sources stand in one order, that of their finish times;
+    they are taken from its beginning until the total budget is reached, and the turn that reaches it is cut there. So a source
+    misses its target by the words of about one document at most, and no
+    document exceeds ``REPEATS`` times its size. Empty texts take 0; a source without words has
+    target 0. A null source is one source; rows repeated with one identifier are queued each; an empty table gives no rows.
+    Reruns agree, up to which of two rows alike in identifier and text is which.
+    """
+    queued = materialize(_queues(docs, id_col, text_col, source_col, seed), "queue")
+    cut = _cut(queued)
+    if cut is None:
+        taken = F.lit(0).cast("long")
+    else:
+        key, rest = cut
+        last = F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(key, ("double", "long", "long", "int"), _ORDER, strict=True)))
+        turn = lambda at: F.when(at < last, F.col("size")).when(at == last, F.lit(rest).cast("long")).otherwise(F.lit(0).cast("long"))
+        whole = sum((turn(at) for at in _turns(queued)[1:]), turn(_turns(queued)[0]))
+        taken = F.when((F.col("size") > 0) & (F.col("target") > 0), whole).otherwise(F.lit(0).cast("long"))
+    plan = queued.withColumn("taken", taken)
+    for i, at in enumerate(_turns(queued)):
+        plan = plan.withColumn("finish" if i == 0 else f"finish_{i + 1}", F.when(F.col("target") > 0, at["finish"]))
+    finishes = ["finish" if i == 0 else f"finish_{i + 1}" for i in range(REPEATS)]
+    plan = plan.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins", *finishes, "taken")
+    return plan.repartitionByRange("finish", "text_hash").sortWithinPartitions("finish", "text_hash")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """The mix itself: rows of ``docs`` with its columns, in the order of their virtual finish times.
 
-    Documents are taken whole: a turn counts if at least half of its words come before the cut, so a
-    source misses its target by half a document at most. A document taken twice is two rows; a
-    document that isn't taken, or has no words, is no row. Rows alike in identifier and text are queued each.
+    Documents are taken whole; the one turn that the cut falls into counts if at least half of its words come before it. A document
+    taken twice is two rows; a document that isn't taken, or has no words (null and blank texts), is no row. A null
+    source is one source. Rows alike in identifier and text are queued each. An empty table stays empty; columns may have any names.
     """
     plan = materialize(fair_schedule(docs, id_col, text_col, source_col, seed), "schedule")
     first = F.least("size", "taken")
@@ -104,6 +151,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     turns = plan.filter("size > 0").select("doc_id", "text_hash", F.explode(F.filter(for_turns, lambda t: t["in"])).alias("turn"))
     turns = turns.select("doc_id", "text_hash", F.col("turn.finish").alias("finish"))
+    # The documents' own columns are inside ``row``, so no name of theirs can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
     if plan.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():  # the turns of rows alike are rows of their own
         rows = rows.groupBy("d", "h").agg(F.first("row").alias("row"))

@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcodes
 from .graph import components
+from .rare_first import rare_pairs
 from .shared import materialize
 
 #: Words to either side of a cut; a passage over 50 words holds on average 34 words of whole paragraphs, always some.
@@ -43,7 +45,8 @@ def paragraphs(codes: np.ndarray, offsets: np.ndarray, reach: int = REACH):
     """Word hashes, the paragraphs' first words (one more at the end), each paragraph's text, and each text's first word."""
     codes = textcodes.lower_ascii(codes)
     starts, ends, first = textcodes.runs(~textcodes.blank(codes), offsets)
-    h = textcodes.span_hashes(codes, starts, ends)
+    words, place = textcodes.spans(codes, starts, ends)
+    h = textcodes.strong_hashes(words)[place, 0]
     n = len(h)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     follow = np.zeros(n, U)
@@ -75,10 +78,9 @@ def _segments(k: int, count: int):
                 keep = np.flatnonzero(size >= k)
                 if not len(keep):
                     continue
-                up, down = textcodes.powers(len(h) + 1)
-                total = np.concatenate((np.zeros(1, U), np.cumsum(textcodes.mix(h) * up[: len(h)])))
                 a, b = cuts[:-1][keep], cuts[1:][keep]
-                own = textcodes.mix((total[b] - total[a]) * down[a] + size[keep].astype(U))
+                flat = h.tobytes()
+                own = np.array([xxhash.xxh3_64_intdigest(flat[8 * i : 8 * j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], U)
                 rolled = textcodes.roll(h, k)
                 # Shingles of one paragraph stand together: positions a to b - k.
                 spans = np.stack([a, b - k + 1], 1).reshape(-1)
@@ -101,7 +103,8 @@ def _shingles(k: int):
             for at, codes, offsets in textcodes.slices(texts):
                 codes = textcodes.lower_ascii(codes)
                 starts, ends, first = textcodes.runs(~textcodes.blank(codes), offsets)
-                h = textcodes.span_hashes(codes, starts, ends)
+                words, place = textcodes.spans(codes, starts, ends)
+                h = textcodes.strong_hashes(words)[place, 0]
                 for i in range(len(offsets) - 1):
                     for c in chosen[at + i]:
                         a = int(first[i]) + c["start"]
@@ -121,28 +124,16 @@ def _near(pairs: DataFrame, sample: DataFrame, percent: int) -> DataFrame:
 def _across(pairs: DataFrame, sample: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between paragraphs of different components, for bands whose members aren't all in their hub's.
 
-    Sets of n and m shingles that similar share ``percent`` of n, so of each set's shingles in one order the first
-    n - ceil(percent * n) + 1 must meet. The order is by frequency, rarest first: what made a band
-    large comes last, and is compared on only where a paragraph has nothing rarer.
+    They meet by their rarest shingles; what made a band large comes last there, and is compared on only where a
+    paragraph has nothing rarer.
     """
     named = lambda df, name, out: df.join(classes.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
     apart = named(named(pairs, "hub", "hub_c"), "hash", "c")
     hubs = apart.filter("c != hub_c").select("hub").distinct()
     # All members that met such a hub, its own component's too: a stray may be near one of these.
     members = apart.join(hubs, "hub").select(F.explode(F.array(F.struct("hash", "c"), F.struct(F.col("hub").alias("hash"), F.col("hub_c").alias("c")))).alias("m")).select("m.*").distinct()
-    tokens = members.join(sample, "hash").select("hash", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    tokens = materialize(tokens, "paragraph-tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("least"), F.max("c").alias("most")).filter("f > 1")
-    ranked = tokens.join(counts.hint("merge"), "token")
-    ranked = ranked.groupBy("hash", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", (F.col("least") < F.col("most")).alias("mixed")))).alias("t"))
-    # Shingles of one paragraph alone are the rarest and meet nothing; they take their places of the prefix.
-    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    ranked = ranked.withColumn("room", room.cast("int")).filter("room > 0").select("hash", "c", "n", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t"))
-    ranked = materialize(ranked.filter("t.mixed").select("hash", "c", "n", F.col("t.token").alias("token")), "paragraph-prefixes")
-    side = lambda x: ranked.select("token", F.col("hash").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
-    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    met = side("a").join(side("b").hint("merge"), "token").filter((F.col("c_a") < F.col("c_b")) & similar).select("a", "b").distinct()
-    return materialize(_near(materialize(met, "paragraph-strays"), sample, percent), "paragraph-links")
+    sets = members.join(sample, "hash").select(F.col("hash").alias("node"), F.lit(None).cast("binary").alias("part"), "c", F.col("shingles").alias("tokens"))
+    return materialize(_near(materialize(rare_pairs(sets, percent), "paragraph-strays"), sample, percent), "paragraph-links")
 
 
 def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +141,7 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
 
     One row for each run of consecutive repeated paragraphs of a document, of ``run_words`` words or more, cut
     where ``kept`` changes (a part not kept may be shorter; a shorter one kept stays in the text without a row): where it starts (words from 0, split at ``[\\x20\\x09-\\x0D]+``), how long it is, the smallest doc_id of the
-    components its paragraphs are in, the most documents that one of these may be in (rows of paragraphs),
+    components its paragraphs are in, the most documents that one of these is in,
     and whether this document keeps it, being the first of each of its components, or else the first of none. Documents without repeated passages
     have no row. Repeats within one document alone don't count. Null and empty texts, texts of fewer
     than ``k`` words and null identifiers take no part; rows with one doc_id count as one document. An
@@ -183,7 +174,7 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
     found = met.select("doc_id", "start", "n_words", "hash").distinct()
     found = found.join(classes.select(F.col("node").alias("hash"), "component"), "hash", "left").withColumn("cluster", F.coalesce("component", "hash"))
     found = materialize(found.select("doc_id", "start", "n_words", "cluster"), "found")
-    clusters = found.groupBy("cluster").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
+    clusters = found.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
     repeats = found.join(clusters.filter("first_doc < last_doc"), "cluster")
     in_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
     gap = F.col("start") != F.lag(F.col("start") + F.col("n_words")).over(in_doc)

@@ -20,8 +20,8 @@ from .langid import fold
 from .shared import materialize
 
 #: The bound of the training sample in rows (documented limit of the fit; scoring has none), the shards that
-#: learn side by side, their rounds, and the share of the sampled texts (three at least) that a feature must be in.
-SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_SHARE = 12_000, 4, 10, 1 / 500
+#: learn side by side, their rounds, and the sampled texts that a feature must be in at any size: L1 does the rest.
+SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 4, 10, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.05
 #: Toxic texts are the rarer class; each counts as so many.
 TOXIC_WEIGHT = 2.0
@@ -89,9 +89,10 @@ def _frequencies(words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value if words is not None else None
-        found = [f for batch in batches for f in _sets(batch.column("text").to_pylist(), known, known is not None)]
-        f, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+        for batch in textcodes.pieces(batches):
+            found = list(_sets(batch.column("text").to_pylist(), known, known is not None))
+            f, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
     return run
 
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     The sample is the ``sample_rows`` labelled identifiers with the smallest hashes. Shards of it
     learn side by side from one state; what they change at a coordinate is averaged over the shards
-    that met it. Driver and tasks hold the sample's frequent features only.
+    that met it. Driver and tasks hold the features of LEAST_TEXTS sampled texts only.
     """
     spark = docs.sparkSession
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -152,11 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = chosen.withColumn("turn", turn).orderBy("turn", "doc_id").limit(sample_rows).withColumn("shard", F.pmod("turn", F.lit(SHARDS)).cast("int"))
     # At most ``sample_rows`` rows of four numbers.
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "shard", "turn"), "toxicity-sample")
-    least = max(3, round(LEAST_SHARE * sample.count()))
-
     def often(words) -> np.ndarray:
         counts = sample.select("text").mapInArrow(_frequencies(words), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        return np.sort(counts.filter(F.col("n") >= least).select("feature").toArrow().column(0).to_numpy().view(U))
+        return np.sort(counts.filter(F.col("n") >= LEAST_TEXTS).select("feature").toArrow().column(0).to_numpy().view(U))
 
     # A pair can only be in that many texts if both its words are.
     vocabulary = often(spark.sparkContext.broadcast(often(None)))

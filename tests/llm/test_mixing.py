@@ -25,16 +25,38 @@ def targets(rows):
     return size, out
 
 
+def queue_plainly(rows, target):
+    """Turns of all sources in the order of their virtual finish times, taken until the budget is reached: words taken of each row."""
+    before, turns, taken = defaultdict(int), [], [0] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i]["text_hash"] % 2**64, rows[i]["begins"])):
+        r = rows[i]
+        assert r["begins"] == before[r["source"]]
+        before[r["source"]] += r["size"]
+    for i, r in enumerate(rows):
+        for n in range(2):
+            if r["size"] and target[r["source"]]:
+                turns.append(((r["begins"] + r["size"] + n * before[r["source"]]) / r["target"], r["text_hash"], n, i))
+    left = round(sum(target.values()))
+    for _, _, _, i in sorted(turns):
+        words = min(left, rows[i]["size"])
+        taken[i] += words
+        left -= words
+    return taken
+
+
 def check(spark, rows, got):
     size, target = targets(rows)
     assert len(got) == len(rows)
-    taken = defaultdict(int)
+    taken, longest = defaultdict(int), defaultdict(int)
     for r in got:
         assert r["source_size"] == size[r["source"]]
         assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    assert [r["taken"] for r in got] == queue_plainly(got, target)
+    assert abs(sum(taken.values()) - sum(target.values())) <= 1
+    assert all(abs(taken[s] - target[s]) <= max(longest.values()) + 1 for s in target)
 
 
 def test_mix_of_awkward_rows(spark):
@@ -54,3 +76,8 @@ def test_mix_query(spark):
 def test_mix_of_nothing(spark):
     assert fair_schedule(brute.frame(spark, [])).collect() == []
     assert [r.taken for r in fair_schedule(brute.frame(spark, [{"doc_id": 1, "text": None, "source": None}])).collect()] == [0]
+
+
+def test_mix_is_range_sorted_by_finish_time(spark):
+    got = [r.finish for r in queries.op9_mixing(spark, brute.SF).collect() if r.finish is not None]
+    assert got == sorted(got)
