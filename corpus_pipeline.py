@@ -18,34 +18,51 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those in which no language has half of the letters.
+    """Rejects documents without a letter (null and empty texts too) and those in which no language has half of the letters.
 
     A missing lang is filled with the prediction. The model learns from the labelled documents of
-    its input, but for the held-out quarter.
+    its input, but for the held-out quarter; where there are none, all are rejected. Null identifiers are predicted, not
+    learned from; repeated rows count each. An empty table stays empty; extra columns may have any names.
     """
     labelled = docs.filter(langid.fold("doc_id", 4) != 2).select("lang", "text")
-    found = langid.predict(docs, langid.train(labelled), docs.columns)
+    # Plain names while the prediction's columns stand beside them.
+    plain = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
+    found = langid.predict(docs.toDF(*plain.values()), langid.train(labelled), list(plain.values()), plain["text"])
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return kept.withColumn(plain["lang"], F.coalesce(plain["lang"], "lang_pred")).select(*plain.values()).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that is equal without white space: the longest, then the smallest doc_id."""
+    """Keeps one document of each group that is equal without white space: the longest, then the smallest doc_id.
+
+    Null and empty texts are one group. Ties, repeated rows, the empty table and names: see ``exact_dedup.keep_first``.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8."""
+    """Keeps the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8.
+
+    Texts without words, rows with a null doc_id and rows that repeat a kept one all stay. The empty table and names:
+    see ``jaccard_join.keep_smallest``.
+    """
     return jaccard_join.keep_smallest(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes whole documents up to each source's target, twice where it asks for that, in the order of the queue."""
+    """Takes whole documents in the order of the queue up to the budget, twice where a source's target asks for that.
+
+    Texts without words are never taken; a null source is one source. Ties, repeated rows, the empty table and names: see
+    ``mixing.mixed_documents``.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row of the mix."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row of the mix.
+
+    Null texts are empty; repeated rows are encoded each; an empty table gives no rows; other columns are ignored.
+    """
     return bpe_fold.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
