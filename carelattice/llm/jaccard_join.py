@@ -139,7 +139,7 @@ _MEMBERS = "key long, hub long, id long"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) in that order, each key's later rows with its first one (hub); keys of one row give none."""
+    """Of rows (key, id) in the order of the keys, each key's later rows with its first one (hub); keys of one row give none."""
     last_key, hub = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -241,7 +241,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     rows; other columns are ignored.
 
     Documents with one set (by a 128-bit digest) are one class, of which only the smallest doc_id is compared. In a
-    bucket of equal chunks all members are compared with the smallest. Where some of them then still lie apart from
+    bucket of equal chunks all members are compared with one. Where some of them then still lie apart from
     it, the bucket's members meet again by their rarest shingles (``rare_first``), so no link is lost and no
     bucket is paired with itself. A pair links by its words, not by hashes of them.
     """
@@ -254,8 +254,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     # A doc_id with several texts goes in the class of its copy only.
     apart = known.join(_few(copies.select("doc_id", "digest").distinct()), ["doc_id", "digest"], "left_anti")
     keyed = apart.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys.
-    members = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_members, _MEMBERS)
+    # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys. Any member may be first.
+    members = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_members, _MEMBERS)
     members = materialize(members, "members")
     light = apart.select("doc_id", "n_shingles", "sketch")
     pairs = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

@@ -151,16 +151,25 @@ class Shingled:
     """
 
     def __init__(self, words: np.ndarray, hashes: np.ndarray, k: int):
-        self.words, self.k = words, min(k, len(words))
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
+        self.words, self.k, self._hashes, self._first = words, min(k, len(words)), hashes, None
+        ordered = np.sort(hashes)
         new = np.ones(len(ordered), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        self.hashes, self.first = ordered[new], order[new]
+        self.repeats = not new.all()
+        self.hashes = ordered[new] if self.repeats else ordered
         self.size = len(self.hashes)
-        again = np.flatnonzero(~new)
-        if len(again) and not self._same(order[again - 1], self, order[again]).all():
-            self.size = len(np.unique(np.lib.stride_tricks.sliding_window_view(words, self.k), axis=0))
+        if self.repeats:
+            order = np.argsort(hashes, kind="stable")
+            again = np.flatnonzero(~new)
+            if not self._same(order[again - 1], self, order[again]).all():
+                self.size = len(np.unique(np.lib.stride_tricks.sliding_window_view(words, self.k), axis=0))
+
+    @property
+    def first(self) -> np.ndarray:
+        """Where each of ``hashes`` is first met."""
+        if self._first is None:
+            self._first = np.unique(self._hashes, return_index=True)[1]
+        return self._first
 
     def _same(self, at: np.ndarray, other: Shingled, there: np.ndarray) -> np.ndarray:
         return np.logical_and.reduce([self.words[at + i] == other.words[there + i] for i in range(self.k)])
@@ -187,4 +196,4 @@ def shingled(texts: list[str | None], k: int, numbers: dict[str, int] | None = N
             else:  # all words as one shingle, or none
                 found, more = (mix(roll(x[a:b], b - a) + U(b - a)) if b > a else x[:0] for x in (one, two))
             s = Shingled(own[a:b], found, k)
-            yield s, int(more[s.first].sum())
+            yield s, int((more[s.first] if s.repeats else more).sum())
