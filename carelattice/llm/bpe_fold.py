@@ -92,8 +92,8 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``words(word binary, ...)`` with column ids, by expressions of Spark alone."""
-    return words.withColumn("ids", _let(F.decode("word", "ISO-8859-1"), lambda spelled: fold_merges(spelled, rank_literal(ranks))))
+    """``words(word binary, ...)`` with column ids, by expressions of Spark alone. The literal map is bound once, so the plan holds one copy."""
+    return words.withColumn("ids", _let(rank_literal(ranks), lambda literal: _let(F.decode("word", "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))))
 
 
 @cache
@@ -249,10 +249,10 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     ranks = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(common_words(rows, path, most))
     parts = rows.mapInArrow(_parts(path, shared), _PARTS)
-    literal = rank_literal(ranks)
-    fold = lambda word: _let(F.decode(word, "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))
+    fold = lambda literal: lambda word: _let(F.decode(word, "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))
+    own_ids = _let(rank_literal(ranks), lambda literal: F.transform("own", fold(literal)))
     # Bound once by ``_let``, or the fold would be evaluated for each place that a word stands at.
-    folded = parts.withColumn("rare_ids", _let(F.transform("own", fold), lambda own: F.transform("rare", lambda i: F.get(own, i))))
+    folded = parts.withColumn("rare_ids", _let(own_ids, lambda own: F.transform("rare", lambda i: F.get(own, i))))
     tokens = F.from_json(F.lit(json.dumps([t.decode("latin-1") for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
     places = {r: i for i, r in enumerate(sorted(ranks.values()))}
     if any(r != i for r, i in places.items()):
