@@ -75,10 +75,10 @@ class Bands:
 
 @cache
 def spare(difference: int, least: int) -> int:
-    """How many chunks must be equal: more than are empty, but for one set of ``least`` shingles in thousands."""
+    """How many chunks must be equal: more than are empty, but for a few of the sets of ``least`` shingles."""
     for s in range(1, difference + 2):
         mean = (difference + s) * math.exp(-least / (difference + s))
-        if s > mean + 4 * math.sqrt(mean):
+        if s > mean + 2 * math.sqrt(mean):
             break
     return s
 
@@ -115,22 +115,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in arrays]))), pa.int32()), pa.array(np.concatenate(arrays)))
 
 
-_FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
+_FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+_KEYS = "doc_id long, digest binary, keys array<long>"
 
 
-def _features(k: int, percent: int):
-    bands = Bands(percent)
-
+def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textcodes.pieces(batches, 256):
-            sizes, digests, sketches, keys = [], [], [], []
+            sizes, digests, sketches = [], [], []
             for found, second in textcodes.shingled(batch.column(1).to_pylist(), k):
                 sizes.append(found.size)
                 digests.append(_digest(found, second))
                 sketches.append(fold_sketch(found.hashes))
-                keys.append(chunk_keys(found.hashes, bands).view(np.int64))
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches), _lists(keys)], names=["doc_id", "n_shingles", "digest", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], names=["doc_id", "n_shingles", "digest", "sketch"])
+
+    return run
+
+
+def _keys(k: int, percent: int):
+    """The join keys go to their shuffle without being kept: they would take as much room as the texts."""
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textcodes.pieces(batches, 256):
+            digests, keys = [], []
+            for found, second in textcodes.shingled(batch.column(1).to_pylist(), k):
+                digests.append(_digest(found, second))
+                keys.append(chunk_keys(found.hashes, bands).view(np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), _lists(keys)], names=["doc_id", "digest", "keys"])
 
     return run
 
@@ -178,7 +192,7 @@ def _verify(k: int, percent: int):
     return run
 
 
-_SETS = "node long, part binary, tokens array<long>"
+_SETS = "node long, part long, tokens array<long>"
 
 
 def _sets(k: int):
@@ -186,7 +200,7 @@ def _sets(k: int):
         for batch in textcodes.pieces(batches, 256):
             found = list(textcodes.shingled(batch.column(1).to_pylist(), k))
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(*x) for x in found], pa.binary()), _lists([s.hashes.view(np.int64) for s, _ in found])], names=["node", "part", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int.from_bytes(_digest(*x)[:8], "little", signed=True) if x[0].size else None for x in found], pa.int64()), _lists([s.hashes.view(np.int64) for s, _ in found])], names=["node", "part", "tokens"])
 
     return run
 
@@ -246,20 +260,21 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     bucket is paired with itself. A pair links by its words, not by hashes of them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = materialize(texts.mapInArrow(_features(k, percent), _FEATURES), "sketches")
+    features = materialize(texts.mapInArrow(_features(k), _FEATURES), "sketches")
     known = features.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).filter("class_id < last")
     classes = _few(materialize(classes.select("digest", "class_id"), "classes"))
     copies = materialize(known.select("doc_id", "digest").join(classes, "digest").filter("doc_id != class_id"), "copies")
     # A doc_id with several texts goes in the class of its copy only.
-    apart = known.join(_few(copies.select("doc_id", "digest").distinct()), ["doc_id", "digest"], "left_anti")
-    keyed = apart.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    gone = _few(copies.select("doc_id", "digest").distinct())
+    apart = known.join(gone, ["doc_id", "digest"], "left_anti")
+    known_texts = texts.filter(F.col("doc_id").isNotNull())
+    keyed = known_texts.mapInArrow(_keys(k, percent), _KEYS).filter(F.col("digest").isNotNull()).join(gone, ["doc_id", "digest"], "left_anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys. Any member may be first.
     members = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_members, _MEMBERS)
     members = materialize(members, "members")
     light = apart.select("doc_id", "n_shingles", "sketch")
     pairs = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    known_texts = texts.filter(F.col("doc_id").isNotNull())
     links = _linked(_near(pairs, light, percent), known_texts, k, percent)
     found = materialize(components(links), "components")
 

@@ -132,7 +132,7 @@ def _across(pairs: DataFrame, sample: DataFrame, classes: DataFrame, percent: in
     hubs = apart.filter("c != hub_c").select("hub").distinct()
     # All members that met such a hub, its own component's too: a stray may be near one of these.
     members = apart.join(hubs, "hub").select(F.explode(F.array(F.struct("hash", "c"), F.struct(F.col("hub").alias("hash"), F.col("hub_c").alias("c")))).alias("m")).select("m.*").distinct()
-    sets = members.join(sample, "hash").select(F.col("hash").alias("node"), F.lit(None).cast("binary").alias("part"), "c", F.col("shingles").alias("tokens"))
+    sets = members.join(sample, "hash").select(F.col("hash").alias("node"), F.lit(0).cast("long").alias("part"), "c", F.col("shingles").alias("tokens"))
     return materialize(_near(materialize(rare_pairs(sets, percent), "paragraph-strays"), sample, percent), "paragraph-links")
 
 

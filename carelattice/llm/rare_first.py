@@ -13,18 +13,20 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     have 100 * intersection >= percent * union; ``part`` tells the sets of one node apart.
 
     Linked sets of n and m tokens share ``percent`` of n, so of each set's tokens in one order the first
-    n - ceil(percent * n) + 1 must meet. The order is by frequency, rarest first: what many sets
-    hold comes last, and is compared on only where a set has nothing rarer.
+    n - ceil(percent * n) + 1 must meet. In this order tokens of one c alone come first: they take their places of
+    the prefix but meet nothing, so they needn't be moved. The others follow by frequency, rarest first: what many sets hold comes
+    last, and is compared on only where a set has nothing rarer.
     """
-    tokens = sets.select("node", "part", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    tokens = materialize(tokens, "tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("least"), F.max("c").alias("most")).filter("f > 1")
-    ranked = tokens.join(counts.hint("merge"), "token")
-    ranked = ranked.groupBy("node", "part", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", (F.col("least") < F.col("most")).alias("mixed")))).alias("t"))
-    # Tokens of one set alone are the rarest and meet nothing; they take their places of the prefix.
+    sets = materialize(sets.filter(F.size("tokens") > 0), "sets")
+    tokens = sets.select("node", "part", "c", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("least"), F.max("c").alias("most"))
+    mixed = materialize(counts.filter("least < most").select("token", "f"), "mixed-tokens")
+    held = tokens.select("node", "part", "token").join(mixed.hint("merge"), "token")
+    held = held.groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    held = held.join(sets.select("node", "part", "c", F.size("tokens").alias("n")).distinct(), ["node", "part"])
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    ranked = ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "c", "n", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t"))
-    ranked = materialize(ranked.filter("t.mixed").select("node", "c", "n", F.col("t.token").alias("token")), "prefixes")
-    side = lambda x: ranked.select("token", F.col("node").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
+    held = held.withColumn("room", room.cast("int")).filter("room > 0").select("node", "c", "n", F.explode(F.slice("t", F.lit(1), F.col("room"))["token"]).alias("token"))
+    held = materialize(held, "prefixes")
+    side = lambda x: held.select("token", F.col("node").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
     similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     return side("a").join(side("b").hint("merge"), "token").filter((F.col("c_a") < F.col("c_b")) & similar).select("a", "b").distinct()

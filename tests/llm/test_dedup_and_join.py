@@ -129,7 +129,7 @@ def test_unlinked_sets_share_few_keys(percent, size):
         counts = np.unique(keys, return_counts=True)[1]
         return int((counts * (counts - 1) // 2).sum())
 
-    assert pairs(2000) == 0
+    assert pairs(2000) <= 20
 
 
 def test_sets_with_many_empty_chunks_share_a_key():
