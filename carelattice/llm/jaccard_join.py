@@ -153,7 +153,10 @@ _MEMBERS = "key long, hub long, id long"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) in the order of the keys, each key's later rows with its first one (hub); keys of one row give none."""
+    """Of rows (key, id) in the order of the keys, each key's other rows with its hub; keys of one row give none.
+
+    The hub is the smallest id of the key (of its first batch, where a key goes on in the next), so copies meet one hub by all their keys.
+    """
     last_key, hub = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -161,12 +164,13 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        heads = own[new]
-        hubs = heads[np.cumsum(new) - 1] if new[0] else np.concatenate(([hub], heads))[np.cumsum(new)]
-        later = hubs != own
+        hubs = np.minimum.reduceat(own, np.flatnonzero(new))
+        if last_key is not None and key[0] == last_key:
+            hubs[0] = hub
+        each = hubs[np.cumsum(new) - 1]
+        others = each != own
         last_key, hub = key[-1], hubs[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[later]), pa.array(hubs[later]), pa.array(own[later])], names=["key", "hub", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[others]), pa.array(each[others]), pa.array(own[others])], names=["key", "hub", "id"])
 
 
 def _verify(k: int, percent: int):
@@ -255,7 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     rows; other columns are ignored.
 
     Documents with one set (by a 128-bit digest) are one class, of which only the smallest doc_id is compared. In a
-    bucket of equal chunks all members are compared with one. Where some of them then still lie apart from
+    bucket of equal chunks all members are compared with the smallest. Where some of them then still lie apart from
     it, the bucket's members meet again by their rarest shingles (``rare_first``), so no link is lost and no
     bucket is paired with itself. A pair links by its words, not by hashes of them.
     """
@@ -270,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     apart = known.join(gone, ["doc_id", "digest"], "left_anti")
     known_texts = texts.filter(F.col("doc_id").isNotNull())
     keyed = known_texts.mapInArrow(_keys(k, percent), _KEYS).filter(F.col("digest").isNotNull()).join(gone, ["doc_id", "digest"], "left_anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys. Any member may be first.
+    # Nearly all keys stand alone; they are dropped where they are sorted, after the one shuffle of the keys.
     members = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_members, _MEMBERS)
     members = materialize(members, "members")
     light = apart.select("doc_id", "n_shingles", "sketch")
