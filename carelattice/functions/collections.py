@@ -39,3 +39,8 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 def first_integer(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit("")).cast("int")
+
+
+def sorted_unique(x: Column) -> Column:
+    """Distinct values in ascending order, nulls left out."""
+    return F.array_sort(F.array_distinct(F.array_compact(x)))

@@ -161,3 +161,30 @@ def resolve_context(chosen: DataFrame, jobs: DataFrame, events: DataFrame) -> Da
         "id", F.coalesce("e.alarm_id", parsed["alarm_id"]).alias("alarm_id"), F.coalesce("e.subscription_id", parsed["subscription_id"]).alias("subscription_id"),
         F.coalesce("e.trigger_at", F.try_to_timestamp(parsed["trigger_text"])).alias("trigger_at"),
     ).filter(F.col("alarm_id").isNotNull() & F.col("subscription_id").isNotNull() & F.col("trigger_at").isNotNull())
+
+
+def deactivate_expired(subscriptions: DataFrame, attempts: DataFrame, key: str, kind: str = "kind") -> DataFrame:
+    """Subscriptions, those inactive that a push found EXPIRED. Attempts are reduced to one row a key before they meet the table."""
+    expired = attempts.filter(F.col(kind) == "EXPIRED").select(key).distinct().withColumn("_expired", F.lit(True))
+    joined = subscriptions.join(expired, key, "left")
+    return joined.withColumn("is_active", F.col("is_active") & F.col("_expired").isNull()).drop("_expired")
+
+
+def skip_occurrence(alarms: DataFrame, following: Column) -> DataFrame:
+    """Active alarms that consume their next occurrence without a push: it becomes the last one, ``following`` the next; without one they are COMPLETED."""
+    active = (F.col("status") == "ACTIVE") & F.col("next_trigger_at").isNotNull()
+    return alarms.withColumns({
+        "last_triggered_at": F.when(active, F.col("next_trigger_at")).otherwise(F.col("last_triggered_at")),
+        "next_trigger_at": F.when(active, following).otherwise(F.col("next_trigger_at")),
+        "status": F.when(active & following.isNull(), "COMPLETED").otherwise(F.col("status")),
+    })
+
+
+def manual_retry(jobs: DataFrame, now: Column, wait_seconds: int = 0) -> DataFrame:
+    """A child job for each job that failed for good: queued anew for ``wait_seconds`` after ``now``, with its parent's identifier and no retries yet."""
+    failed = jobs.filter(F.col("status").isin("FAILED", "CANCELLED"))
+    key = F.concat_ws(":", F.col("id").cast("string"), F.lit("manual"), (F.col("retries") + 1).cast("string"))
+    return failed.select(
+        F.col("id").alias("parent_id"), key.alias("idempotency_key"), F.lit("QUEUED").alias("status"), F.lit(0).alias("retries"),
+        (now + F.make_dt_interval(secs=F.lit(wait_seconds))).alias("available_at"),
+    )

@@ -73,7 +73,9 @@ def fanout_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.missing_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
+    return relational.missing_ids(table(spark, sf_dir, "customer"), urgent, "c_custkey")
 
 
 def nested_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +190,7 @@ SQL = {
     "left_count_zero": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS open_orders FROM customer",
     "fanout_inner": "SELECT c_custkey, c_name, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'",
     "fanout_missing": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
-    "anti_ids": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_ids": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "nested_assembly": """SELECT o_orderkey, p.parts, s.suppliers FROM orders
         LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY l_orderkey) p ON p.l_orderkey = o_orderkey
         LEFT JOIN (SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS suppliers FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey""",

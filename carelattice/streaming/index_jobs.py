@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,23 +54,29 @@ def process_batch(batch: DataFrame, handle: Callable[[DataFrame], DataFrame], at
 
 
 def run(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, most: int = MOST_ATTEMPTS) -> StreamingQuery:
-    """Consume ``stream``; each batch's outcome is written under its number, so a batch that runs again replaces itself.
+    """Consume ``stream``; each batch's outcome is written once under its number, so a batch that runs again replaces all of it.
 
     Offsets are Spark's, kept in ``checkpoint``: a message counts as consumed once its batch's outcome is
-    written. A failed message is tried again within its batch until it succeeds or is dead.
+    written. A failed message is tried again within its batch until it succeeds or is dead. What ``handle`` answers is
+    written before it is split, so it runs once for each attempt and each message has one outcome.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         pending = batch.select("message_id", "fields")
         attempts = spark.createDataFrame([], "message_id string, attempt int")
+        found: dict[str, list[DataFrame]] = {"done": [], "rejected": [], "dead": []}
         for attempt in range(1, most + 1):
-            outcome = process_batch(pending, handle, attempts, most)
-            for name, df in outcome.items():
-                df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}/attempt={attempt}")
-            again = spark.read.parquet(f"{folder}/retry/batch={number}/attempt={attempt}")
-            if not again.limit(1).count():
+            tried = f"{folder}/tried/batch={number}/attempt={attempt}"
+            handle(split_valid(pending)[0]).write.mode("overwrite").parquet(tried)
+            answered = spark.read.parquet(tried)
+            outcome = process_batch(pending, lambda _, answered=answered: answered, attempts, most)
+            for name, frames in found.items():
+                frames.append(outcome[name])
+            pending, attempts = outcome["retry"].select("message_id", "fields"), outcome["retry"].select("message_id", "attempt")
+            if not pending.limit(1).count():
                 break
-            pending, attempts = again.select("message_id", "fields"), again.select("message_id", "attempt")
+        for name, frames in found.items():
+            reduce(DataFrame.unionByName, frames).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
