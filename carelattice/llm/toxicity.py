@@ -21,7 +21,7 @@ from .shared import materialize
 
 #: The bound of the training sample in rows (documented limit of the fit; scoring has none), the shards that
 #: learn side by side, their rounds, and the sampled texts that a feature must be in at any size: L1 does the rest.
-SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 4, 10, 3
+SAMPLE_ROWS, SHARDS, ROUNDS, LEAST_TEXTS = 12_000, 4, 10, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.05
 #: Toxic texts are the rarer class; each counts as so many.
 TOXIC_WEIGHT = 2.0
