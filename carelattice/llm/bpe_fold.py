@@ -29,8 +29,8 @@ COMMON_WORDS, COMMON_BYTES, SAMPLE_ROWS = 1 << 20, 64, 50_000
 RANK_BUCKETS = 16384
 #: Code points from which a word is cut where no token reaches across.
 LONG_WORD = 48
-#: Words that a worker keeps ready, and distinct words it gathers before it emits them.
-KEPT_WORDS, GATHERED_WORDS = 150_000, 300_000
+#: Words in each of the two halves that a worker keeps ready, and distinct words it gathers before it emits them.
+KEPT_WORDS, GATHERED_WORDS = 90_000, 300_000
 NO_RANK, PLACES = 2**31 - 1, 1 << 20
 
 
@@ -193,13 +193,15 @@ def _parts(path: str, shared):
         pieces = {rank: token for token, rank in load_ranks(path).items()}
         told = lambda ids: ids and (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]).decode())
         kept: dict[str, tuple[int, str, str] | None] = {}
+        older: dict[str, tuple[int, str, str] | None] = {}
         for batch in textcodes.pieces(batches, 256):
             out: list[list] = [[], [], [], [], []]
             for _, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
                 starts, ends, first = words_of(codes, offsets, path)
                 words, place = textcodes.spans(codes, starts, ends)
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
+                if len(kept) > KEPT_WORDS:  # words in use move on from the older half
+                    older, kept = kept, {}
+                kept.update((w, older[w]) for w in words if w in older)
                 new = [w for w in words if w not in kept]
                 kept.update(zip(new, map(told, common.find(new)), strict=True))
                 entries = [kept[w] for w in words]
