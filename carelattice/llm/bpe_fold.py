@@ -50,12 +50,12 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use(value)`` with ``value`` evaluated once: the start of a fold of nothing, which costs no array."""
+    return F.aggregate(F.from_json(F.lit("[]"), "array<int>"), value, lambda same, _: same, use)
 
 
 def _rank(piece: Column, ranks: Column) -> Column:
-    return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % RANK_BUCKETS).cast("int")), piece)
+    return _let(piece, lambda p: F.element_at(F.get(ranks, (F.crc32(p.cast("binary")) % RANK_BUCKETS).cast("int")), p))
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
@@ -87,8 +87,7 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
     pieces = F.aggregate(F.sequence(F.lit(2), end), begin, merge)
     ids = _let(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: _let(start(p, i), lambda a: _rank(F.substr(word, a + 1, start(p, i + 1) - a), ranks))))
-    whole = _rank(word, ranks)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+    return _let(_rank(word, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(ids))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
