@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from datetime import UTC
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 #: Seconds before the first retry; each further one doubles.
 RETRY_BASE_SECONDS = 30
@@ -21,19 +22,32 @@ def zone(name: str) -> ZoneInfo:
         raise ValueError(f"unknown time zone: {name}") from exc
 
 
-@F.pandas_udf(TimestampType())
-def _next_by_rule(rule: pd.Series, start: pd.Series, after: pd.Series) -> pd.Series:
+def known_zone(name: Column) -> Column:
+    """Is this the name of a time zone?"""
+    return F.coalesce(name.isin(*sorted(available_timezones())), F.lit(False))
+
+
+@F.pandas_udf(StructType([StructField("upcoming", TimestampType()), StructField("valid", BooleanType())]))
+def _next_by_rule(rule: pd.Series, start: pd.Series, after: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """By local clocks of the zone. A rule that can't be read is not valid; neither it nor an unknown zone fails the task."""
     from dateutil.rrule import rrulestr
 
-    out, known = [], {}
-    for r, s, a in zip(rule, start, after, strict=True):
-        if r is None or pd.isna(s) or pd.isna(a):
-            out.append(None)
+    found, known = [], {}
+    for r, s, a, z in zip(rule, start, after, name, strict=True):
+        if r is None or z is None or pd.isna(s) or pd.isna(a):
+            found.append((None, None))
+            continue
+        try:
+            own = ZoneInfo(z)
+            local = lambda t, own=own: t.tz_localize("UTC").tz_convert(own).tz_localize(None).to_pydatetime() if t.tzinfo is None else t.tz_convert(own).tz_localize(None).to_pydatetime()
+            if (r, s, z) not in known:
+                known[r, s, z] = rrulestr(r, dtstart=local(s))
+            upcoming = known[r, s, z].after(local(a), inc=False)
+        except (ValueError, TypeError, KeyError, ZoneInfoNotFoundError):
+            found.append((None, False))
             continue
-        if (r, s) not in known:
-            known[r, s] = rrulestr(r, dtstart=s.to_pydatetime())
-        out.append(known[r, s].after(a.to_pydatetime(), inc=False))
-    return pd.Series(out, dtype="datetime64[ns]")
+        found.append((upcoming and upcoming.replace(tzinfo=own).astimezone(UTC).replace(tzinfo=None), True))
+    return pd.DataFrame({"upcoming": pd.Series([x for x, _ in found], dtype="datetime64[ns]").dt.tz_localize("UTC"), "valid": pd.Series([v for _, v in found], dtype=object)})
 
 
 #: Rules that are plain arithmetic, and their step in days.
@@ -48,10 +62,70 @@ def next_plain_occurrence(rule: Column, start: Column, after: Column) -> Column:
     return start + F.make_dt_interval(days.cast("int"))
 
 
-def next_occurrence(rule: Column, start: Column, after: Column) -> Column:
-    """First occurrence strictly after ``after``; null when there is none or no rule. Only other rules go to Python."""
-    other = F.when(~rule.isin(*PLAIN_RULES), rule)
-    return F.when(rule.isin(*PLAIN_RULES), next_plain_occurrence(rule, start, after)).otherwise(_next_by_rule(other, start, after))
+def next_local_occurrence(rule: Column, start: Column, after: Column, zone_name: Column) -> Column:
+    """First occurrence of a plain rule strictly after ``after``, at the same clock time of the zone whatever its offset is then; null for other rules.
+
+    A clock time that a change of offset leaves out is as much later; of one that comes twice the first is meant.
+    """
+    day = 86_400_000_000
+    step = F.when(rule == "FREQ=DAILY", day).when(rule == "FREQ=WEEKLY", 7 * day)
+    clock = lambda t: F.unix_micros(F.from_utc_timestamp(t.cast("timestamp"), zone_name))
+    passed = F.floor((clock(after) - clock(start)) / step).cast("long") + 1
+    at = lambda n: F.to_utc_timestamp(F.timestamp_micros(clock(start) + n * step), zone_name)
+    n = F.greatest(passed, F.lit(0).cast("long"))
+    # The clock time after ``after`` may be one that has come already, before the clock was set back.
+    return F.when(at(n) > after.cast("timestamp"), at(n)).otherwise(at(n + 1))
+
+
+def next_occurrence(rule: Column, start: Column, after: Column, zone_name: Column | None = None) -> Column:
+    """First occurrence strictly after ``after``; null when there is none, no rule, or one that can't be read. Only rules that aren't plain go to Python.
+
+    With ``zone_name`` by that zone's clock; an unknown zone gives null.
+    """
+    plain = rule.isin(*PLAIN_RULES)
+    if zone_name is None:
+        return F.when(plain, next_plain_occurrence(rule, start, after)).otherwise(_by_rule(F.when(~plain, rule), start, after, F.lit("UTC"))["upcoming"])
+    fine = F.when(known_zone(zone_name), zone_name)
+    return F.when(plain, next_local_occurrence(rule, start, after, fine)).otherwise(_by_rule(F.when(~plain, rule), start, after, fine)["upcoming"])
+
+
+def _by_rule(rule: Column, start: Column, after: Column, zone_name: Column) -> Column:
+    return _next_by_rule(rule, start.cast("timestamp"), after.cast("timestamp"), zone_name)
+
+
+def rule_is_valid(rule: Column, start: Column) -> Column:
+    """Can a rule be read? Null without a rule."""
+    plain = rule.isin(*PLAIN_RULES)
+    return F.when(rule.isNull(), None).when(plain, F.lit(True)).otherwise(F.coalesce(_by_rule(F.when(~plain, rule), start, start, F.lit("UTC"))["valid"], F.lit(False)))
+
+
+def nth_occurrence(rule: Column, start: Column, following: Column, n: Column) -> Column:
+    """last_triggered_at and next_trigger_at after ``n`` occurrences, from ``following`` on, were consumed (n of 1 or more).
+
+    Where the rule ends before, or there is none, the last one that was found stays the next.
+    """
+    step = F.when(rule == "FREQ=DAILY", 1).when(rule == "FREQ=WEEKLY", 7)
+    at = lambda days: (following + F.make_dt_interval(days.cast("int"))).cast("timestamp")
+    plain = F.struct(at((n - 1) * step).alias("last_triggered_at"), at(n * step).alias("next_trigger_at"))
+    still = F.struct(following.cast("timestamp").alias("last_triggered_at"), following.cast("timestamp").alias("next_trigger_at"))
+    other = rule.isNotNull() & ~rule.isin(*PLAIN_RULES)
+    steps = _consumed(F.when(other, rule), start.cast("timestamp"), following.cast("timestamp"), n.cast("long"))
+    return F.when(rule.isin(*PLAIN_RULES), plain).when(other, steps).otherwise(still)
+
+
+@F.pandas_udf(StructType([StructField("last_triggered_at", TimestampType()), StructField("next_trigger_at", TimestampType())]))
+def _consumed(rule: pd.Series, start: pd.Series, following: pd.Series, n: pd.Series) -> pd.DataFrame:
+    from dateutil.rrule import rrulestr
+
+    last, upcoming = [], []
+    for r, s, f, k in zip(rule, start, following, n, strict=True):
+        if r is None or pd.isna(s) or pd.isna(f) or pd.isna(k):
+            last.append(None), upcoming.append(None)
+            continue
+        # f, where occurrences stand from now on; each skip makes it the last and moves on while the rule has more.
+        found = [f.to_pydatetime(), *(x for x, _ in zip(rrulestr(r, dtstart=s.to_pydatetime()).xafter(f.to_pydatetime()), range(int(k)), strict=False))]
+        last.append(found[min(int(k), len(found)) - 1]), upcoming.append(found[min(int(k), len(found) - 1)])
+    return pd.DataFrame({"last_triggered_at": pd.Series(last, dtype="datetime64[ns]"), "next_trigger_at": pd.Series(upcoming, dtype="datetime64[ns]")})
 
 
 def duration_ms(start: Column, end: Column) -> Column:

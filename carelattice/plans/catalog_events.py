@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import dates, text
 from ..operators import machines, relational
 from ..sources.readers import table
 from ..streaming import state
+from ..streaming.retries import STATE_STORE
 
 NOW = "2024-01-16 00:00:00"
 ACTION_OF = {"signup": "RESUME", "click": "PAUSE", "view": "SKIP", "purchase": "COMPLETE", "error": "CANCEL"}
@@ -159,6 +161,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alarm machine as keyed state over the event stream: each alarm's last status."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = _events(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     actions = stream.select((F.col("event_id") % 1000).alias("alarm_id"), "event_id", _named(ACTION_OF).alias("step"))
@@ -167,13 +170,17 @@ def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("alarm_id").agg(*(F.max_by(c, total).alias(c) for c in ("status", "applied", "refused")))
 
 
-def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream until its input ends and return what it has put out; files are in the shared folder where there is one."""
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's files in the one that ``spark.checkpoint.dir`` names; a local one where that is unset in local mode, else ValueError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{named.rstrip('/')}/streams" if named else tempfile.mkdtemp(prefix="carelattice-")
-    import uuid
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="carelattice-")
+
 
-    out, checkpoint = (f"{folder}/{uuid.uuid4().hex}" for _ in range(2))
+def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream until its input ends and return what it has put out."""
+    out, checkpoint = (f"{stream_folder(spark)}/{name}" for name in ("out", "checkpoint"))
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")

@@ -11,13 +11,6 @@ from ..sources.readers import confirmed_only, diagnosis_list, table, visit_time
 from ..streaming import index_jobs
 from . import assembly, rules
 
-NOW = "2024-02-01 00:00:00"
-
-
-def _now():
-    return F.to_timestamp_ntz(F.lit(NOW))
-
-
 def expired_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as push subscriptions, events as push attempts; an expired push deactivates its subscription."""
     events = table(spark, sf_dir, "events")
@@ -27,24 +20,6 @@ def expired_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.deactivate_expired(subscriptions, attempts, "user_id")
 
 
-def skip_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as alarms that skip their next occurrence; views have one a day later, clicks are paused, others have none after it."""
-    status = F.when(F.col("event_type") == "click", "PAUSED").otherwise("ACTIVE")
-    alarms = table(spark, sf_dir, "events").select("event_id", "event_type", status.alias("status"), F.col("ts").alias("next_trigger_at"), F.lit(None).cast("timestamp_ntz").alias("last_triggered_at"))
-    following = F.when(F.col("event_type") == "view", F.col("next_trigger_at") + F.expr("INTERVAL '1' DAY"))
-    done = machines.skip_occurrence(alarms, following)
-    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return done.select("event_id", "status", shown("next_trigger_at"), shown("last_triggered_at"))
-
-
-def manual_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child jobs of the failed ones, due a minute from now."""
-    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "click", "CANCELLED").otherwise("COMPLETED")
-    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), status.alias("status"), (F.col("event_id") % 4).cast("int").alias("retries"))
-    child = machines.manual_retry(jobs, _now(), 60)
-    return child.withColumn("available_at", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss"))
-
-
 def claim_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "QUEUED").when(F.col("event_type") == "click", "RETRY_WAITING").otherwise("COMPLETED")
     return machines.claim(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), status.alias("status")), 7)
@@ -140,20 +115,13 @@ def visit_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        expired_subscriptions, skip_occurrence, manual_retry, claim_job, used_slots, reshape_record, low_confidence, from_legacy, finish_answer, diagnoses,
+        expired_subscriptions, claim_job, used_slots, reshape_record, low_confidence, from_legacy, finish_answer, diagnoses,
         confirmed_records, reject_missing, dead_letters, guard_guides, visit_times,
     )
 }
 SQL = {
     "expired_subscriptions": """
         SELECT user_id, user_id % 10 <> 0 AND NOT bool_or(event_type = 'error' AND event_id % 5 = 0 AND event_id % 17 <> 0) AS is_active FROM events GROUP BY user_id""",
-    "skip_occurrence": """
-        SELECT event_id, CASE event_type WHEN 'click' THEN 'PAUSED' WHEN 'view' THEN 'ACTIVE' ELSE 'COMPLETED' END AS status,
-            CASE event_type WHEN 'click' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 'view' THEN strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') END AS next_trigger_at,
-            CASE WHEN event_type <> 'click' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_triggered_at FROM events""",
-    "manual_retry": """
-        SELECT event_id AS parent_id, event_id || ':manual:' || (event_id % 4 + 1) AS idempotency_key, 'QUEUED' AS status, 0 AS retries, '2024-02-01 00:01:00' AS available_at
-        FROM events WHERE event_type IN ('error', 'click')""",
     "claim_job": """
         SELECT event_id AS id, event_id = 7 AND event_type IN ('view', 'click') AS claimed,
             CASE WHEN event_id = 7 AND event_type IN ('view', 'click') THEN 'PROCESSING' WHEN event_type = 'view' THEN 'QUEUED' WHEN event_type = 'click' THEN 'RETRY_WAITING' ELSE 'COMPLETED' END AS status
