@@ -55,8 +55,9 @@ def medication_line(m: Column) -> Column:
 
 
 def follow_up_line(v: Column) -> Column:
-    """Time · department · doctor · purpose · place, from a follow-up struct."""
-    return join_present(SEPARATOR, F.date_format(v["visit_at"], "yyyy-MM-dd HH:mm"), v["department"], v["doctor_name"], v["purpose"], v["place"])
+    """Time · department · doctor · purpose · place, or else the institution, from a follow-up struct."""
+    where = F.coalesce(F.nullif(v["place"], F.lit("")), v["institution_name"])
+    return join_present(SEPARATOR, F.date_format(v["visit_at"], "yyyy-MM-dd HH:mm"), v["department"], v["doctor_name"], v["purpose"], where)
 
 
 def section(title: str, lines: Column) -> Column:

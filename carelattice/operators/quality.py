@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ def when_status(status: str, **needed: dict[str, bool]) -> Column:
     return ok
 
 
+#: The columns of the two kinds of citations, and the one of each kind of the patient's.
 PATIENT_FIELDS = ("patient_source_kind", "patient_field", "medication_id", "care_advice_id", "follow_up_visit_id")
 PUBLIC_KEYS = ("public_dataset_key", "dataset_version", "vector_chunk_id", "source_record_key")
 PUBLIC_FIELDS = (*PUBLIC_KEYS, "source_field", "chunk_type", "source_title", "source_organization", "source_url", "source_page_number", "source_license", "similarity_score")
@@ -58,6 +61,39 @@ def source_union() -> Column:
     return F.coalesce(patient_row | public_row, F.lit(False))
 
 
+#: The error codes of failed and of cancelled OCR jobs.
+FAILURE_CODES = ("OCR_PROVIDER_ERROR", "OCR_PROVIDER_TIMEOUT", "EXTRACTION_FAILED", "VALIDATION_FAILED", "WORKER_INTERRUPTED")
+CANCEL_CODES = ("USER_CANCELLED", "REVIEW_EXPIRED")
+#: Table -> unique keys: no two rows with all of a key's columns given may have them alike.
+UNIQUE_KEYS = {
+    "users": {"email": ["email"]},
+    "push_subscriptions": {"endpoint": ["endpoint"]},
+    "alarms": {"user_alarm_slot": ["user_id", "alarm_type", "meal_slot"]},
+    "background_jobs": {"idempotency_key": ["idempotency_key"]},
+    "care_advices": {"display_order": ["care_episode_id", "display_order"]},
+    "chat_messages": {"sequence_no": ["chat_session_id", "sequence_no"]},
+    "chat_sources": {"citation_order": ["chat_message_id", "citation_order"]},
+    "guide_sources": {"citation_order": ["recovery_guide_id", "citation_order"]},
+    "medication_slots": {"slot": ["medication_id", "slot"]},
+}
+#: Table -> column -> table whose ``id`` it must name where it is given.
+FOREIGN_KEYS = {
+    "push_subscriptions": {"user_id": "users"},
+    "alarms": {"user_id": "users", "care_episode_id": "care_episodes", "follow_up_visit_id": "follow_up_visits"},
+    "alarm_events": {"alarm_id": "alarms", "push_subscription_id": "push_subscriptions"},
+    "background_jobs": {"user_id": "users", "parent_job_id": "background_jobs"},
+    "care_episodes": {"user_id": "users"},
+    "care_advices": {"care_episode_id": "care_episodes"},
+    "follow_up_visits": {"care_episode_id": "care_episodes"},
+    "medications": {"care_episode_id": "care_episodes"},
+    "medication_slots": {"medication_id": "medications"},
+    "ocr_jobs": {"care_episode_id": "care_episodes"},
+    "recovery_guides": {"care_episode_id": "care_episodes"},
+    "chat_sessions": {"user_id": "users", "care_episode_id": "care_episodes"},
+    "chat_messages": {"chat_session_id": "chat_sessions", "reply_to_message_id": "chat_messages"},
+}
+
+
 def catalogue() -> dict[str, dict[str, Column]]:
     """Table -> constraint -> condition that every row must meet (null counts as met, as in SQL's CHECK)."""
     return {
@@ -77,8 +113,8 @@ def catalogue() -> dict[str, dict[str, Column]]:
         "ocr_jobs": {
             "structured_status": col("structured_result").isNull() | (col("status") == "READY_FOR_REVIEW"),
             "ready_payload": when_status("status", READY_FOR_REVIEW={"structured_result": True, "ready_at": True, "expires_at": True}),
-            "error_code": F.when(col("status") == "FAILED", F.coalesce(col("error_code").isin("OCR_PROVIDER_ERROR", "OCR_PROVIDER_TIMEOUT", "EXTRACTION_FAILED", "VALIDATION_FAILED", "WORKER_INTERRUPTED"), F.lit(False)))
-            .when(col("status") == "CANCELLED", F.coalesce(col("error_code").isin("USER_CANCELLED", "REVIEW_EXPIRED"), F.lit(False)))
+            "error_code": F.when(col("status") == "FAILED", F.coalesce(col("error_code").isin(*FAILURE_CODES), F.lit(False)))
+            .when(col("status") == "CANCELLED", F.coalesce(col("error_code").isin(*CANCEL_CODES), F.lit(False)))
             .otherwise(col("error_code").isNull()),
             "completed_at": col("status").isin("COMPLETE", "FAILED", "CANCELLED") == col("completed_at").isNotNull(),
             "status_timestamps": when_status(
@@ -115,6 +151,53 @@ def violations(df: DataFrame, constraints: dict[str, Column], key: str) -> DataF
     return df.select(key, F.explode(broken).alias("constraint"))
 
 
+def all_given(*names: str) -> Column:
+    given = F.lit(True)
+    for n in names:
+        given = given & col(n).isNotNull()
+    return given
+
+
+def key_violations(df: DataFrame, keys: dict[str, list[str]], key: str) -> DataFrame:
+    """key, constraint: one row for each row whose unique key another row has too.
+
+    All keys are counted in one shuffle, with partial counts, so a frequent value is no large group; rows then meet the repeated
+    values only.
+    """
+    given = {n: F.when(all_given(*columns), F.to_json(F.struct(*columns))) for n, columns in keys.items()}
+    each = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(n).alias("constraint"), v.alias("value"))) for n, v in given.items())))).alias("k")
+    listed = df.select(key, each).select(key, "k.*")
+    repeated = listed.groupBy("constraint", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return listed.join(repeated, ["constraint", "value"]).select(key, "constraint")
+
+
+def reference_violations(df: DataFrame, parents: dict[str, DataFrame], references: dict[str, str], key: str) -> DataFrame:
+    """key, constraint: one row for each reference (column) that is given but names no row of its table."""
+    found = [
+        df.filter(col(column).isNotNull()).join(parents[parent].select(col("id").alias(column)), column, "left_anti").select(key, F.lit(column).alias("constraint"))
+        for column, parent in references.items() if parent in parents
+    ]
+    return reduce(DataFrame.unionByName, found) if found else df.select(key, F.lit("").alias("constraint")).filter("false")
+
+
+def table_violations(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """table, id, kind (CHECK, UNIQUE or REFERENCE), constraint: all that the given tables break of the whole catalogue."""
+    checks, found = catalogue(), []
+    for name, df in tables.items():
+        kinds = {
+            "CHECK": violations(df, checks[name], key) if name in checks else None,
+            "UNIQUE": key_violations(df, UNIQUE_KEYS[name], key) if name in UNIQUE_KEYS else None,
+            "REFERENCE": reference_violations(df, tables, FOREIGN_KEYS[name], key) if name in FOREIGN_KEYS else None,
+        }
+        found += [v.select(F.lit(name).alias("table"), F.col(key).alias("id"), F.lit(kind).alias("kind"), "constraint") for kind, v in kinds.items() if v is not None]
+    return reduce(DataFrame.unionByName, found)
+
+
+def clean_codes(codes: Column) -> Column:
+    """Codes without white space around, without blank and repeated ones, in their order."""
+    return F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: F.coalesce(c != "", F.lit(False))))
+
+
 def violation_counts(df: DataFrame, constraints: dict[str, Column]) -> DataFrame:
     """One row with the number of rows that break each constraint."""
     return df.agg(*(F.count_if(~ok).alias(name) for name, ok in constraints.items()))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 THRESHOLD, TOP_K, LARGEST_K = 0.65, 5, 20
-#: Groups of points that a batch of queries is joined to.
-QUERY_GROUPS = 16
+#: Points in a group that a batch of queries is joined to.
+GROUP_POINTS = 4096
 
 
 def payload_filter(points: DataFrame, **equal: str | None) -> DataFrame:
@@ -45,12 +45,13 @@ def relaxed_top_k(
     """For each query the k best points of its topic, or, if none passes the threshold, of any topic.
 
     Columns: query, point, score, rank, strict. Every query meets every group of points by an
-    equi-join on the group, which Spark makes a broadcast join while the queries (a batch of
+    equi-join on the group (as many as the points need), which Spark makes a broadcast join while the queries (a batch of
     questions) are small. At most 2 k rows a query leave a task, since the ranking is limited before
     it is shuffled.
     """
-    ask = queries.select(query_id, F.col(query_vector).alias("_v"), F.col(topic).alias("_topic"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_GROUPS - 1))).alias("_g"))
-    grouped = points.withColumn("_g", F.pmod(F.xxhash64(point_id), F.lit(QUERY_GROUPS)).cast("int"))
+    groups = points.count() // GROUP_POINTS + 1
+    ask = queries.select(query_id, F.col(query_vector).alias("_v"), F.col(topic).alias("_topic"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    grouped = points.withColumn("_g", F.pmod(F.xxhash64(point_id), F.lit(groups)).cast("int"))
     scored = grouped.join(ask, "_g").withColumn("score", vectors.cosine(F.col(vector_col), F.col("_v")))
     scored = scored.filter(F.col("score") >= threshold).withColumn("strict", F.coalesce(F.col(topic) == F.col("_topic"), F.lit(False)))
     best = Window.partitionBy(query_id, "strict").orderBy(F.desc("score"), point_id)
@@ -63,9 +64,10 @@ def relaxed_top_k(
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Old and new rows together, the highest version of each key only."""
-    both = table.unionByName(changes)
-    newest = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(version)).alias("_row"))
+    """Old and new rows together, the highest version of each key only; of equal versions a new row, and a version before none."""
+    both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    rank = F.struct(F.col(version).isNotNull(), F.col(version), "_new")
+    newest = both.groupBy(key).agg(F.max_by(F.struct(*table.columns), rank).alias("_row"))
     return newest.select("_row.*")
 
 

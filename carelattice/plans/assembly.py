@@ -74,6 +74,54 @@ def patient_citations(intent: Column) -> Column:
     )
 
 
+#: A citation of either kind, in the columns that constraints are stated for.
+CITATION = """source_type string, patient_source_kind string, patient_field string, medication_id bigint, care_advice_id bigint, follow_up_visit_id bigint,
+    public_dataset_key string, dataset_version string, vector_chunk_id string, source_record_key string, source_field string, chunk_type string, source_title string,
+    source_organization string, source_url string, source_page_number int, source_license string, similarity_score double"""
+_CITED = "array<struct<" + ", ".join(": ".join(f.rsplit(" ", 1)) for f in CITATION.replace("\n", " ").split(", ")) + ">>"
+
+
+def _citation(**given: Column) -> Column:
+    """A citation with these fields; the others are null."""
+    kinds = [f.strip().rsplit(" ", 1) for f in CITATION.replace("\n", " ").split(",")]
+    return F.struct(*((given[name] if name in given else F.lit(None)).cast(kind).alias(name) for name, kind in kinds))
+
+
+#: Which column of a citation holds the reference of a kind.
+REFERENCE = {"CARE_EPISODE_FIELD": "patient_field", "MEDICATION": "medication_id", "CARE_ADVICE": "care_advice_id", "FOLLOW_UP_VISIT": "follow_up_visit_id"}
+
+
+def citations(intent: Column, route: Column, public_information: Column, chunks: Column) -> Column:
+    """All that an answer cites, in order: of the patient's record, then, where public information was asked for and shown, its chunks.
+
+    ``chunks`` are retrieved points: point_id, score and metadata.
+    """
+    own = F.transform(patient_citations(intent), lambda c: _citation(
+        source_type=F.lit("PATIENT_SAVED_FIELD"), patient_source_kind=c["kind"], **{column: F.when(c["kind"] == kind, c["ref"]) for kind, column in REFERENCE.items()},
+    ))
+    public = F.transform(chunks, lambda c: _citation(
+        source_type=F.lit("PUBLIC_RAG_CHUNK"), public_dataset_key=c["metadata"]["dataset_key"], dataset_version=c["metadata"]["dataset_version"], vector_chunk_id=c["point_id"], source_record_key=c["metadata"]["document_id"],
+        source_field=c["metadata"]["section_title"], chunk_type=c["metadata"]["topic"], source_title=c["metadata"]["title"], source_organization=c["metadata"]["organization"], source_url=c["metadata"]["source_url"],
+        source_page_number=c["metadata"]["page_number"], source_license=c["metadata"]["license"], similarity_score=c["score"],
+    ))
+    shown = F.coalesce((route == "PATIENT_AND_RAG") & (F.size(public_information) > 0), F.lit(False))
+    return F.concat(own, F.when(shown & chunks.isNotNull(), public).otherwise(F.array().cast(_CITED)))
+
+
+def recovery_guide(public_information: Column, lifestyle: Column) -> Column:
+    """A recovery guide of a patient (a row of PATIENT_CONTEXT): what the record says, what was added to it, and the notice.
+
+    Instructions stand in display_order, those of one order as they came.
+    """
+    none = F.array().cast("array<string>")
+    in_order = F.array_sort(F.transform("instructions", lambda x, i: F.struct(x["display_order"], i, x["content"].alias("content"))))
+    return F.struct(
+        F.coalesce(F.transform("medications", text.medication_line), none).alias("medication_guide"), F.coalesce(F.transform(in_order, lambda x: x["content"]), none).alias("patient_instructions"),
+        F.coalesce(public_information, none).alias("public_information"), F.coalesce(lifestyle, none).alias("lifestyle_guide"), none.alias("warning_signs"),
+        F.coalesce(F.transform("follow_up_schedules", text.follow_up_line), none).alias("follow_up_schedule"), F.lit(NOTICE).alias("safety_notice"),
+    )
+
+
 def numbered(df: DataFrame, citations: Column, *keep: str) -> DataFrame:
     """One row per citation with its order from 1."""
     return df.select(*keep, F.posexplode(citations).alias("_at", "_c")).select(*keep, (F.col("_at") + 1).alias("citation_order"), "_c.*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_alarms, catalog_events, catalog_records, catalog_relational, catalog_rules, catalog_text, catalog_vectors
+from . import catalog_alarms, catalog_events, catalog_guides, catalog_records, catalog_relational, catalog_rules, catalog_text, catalog_vectors
 
-GROUPS = (catalog_vectors, catalog_relational, catalog_text, catalog_rules, catalog_events, catalog_records, catalog_alarms)
+GROUPS = (catalog_vectors, catalog_relational, catalog_text, catalog_rules, catalog_events, catalog_records, catalog_alarms, catalog_guides)
 
 
 def queries() -> dict:

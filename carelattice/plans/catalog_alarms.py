@@ -14,7 +14,7 @@ from .catalog_events import _drain
 NOW = "2024-02-01 00:00:00"
 ACTIONS = ("PAUSE", "RESUME", "COMPLETE", "SKIP", "CANCEL", "OTHER")
 #: Time slices that the event table is read in as a stream, each in a batch of its own.
-SLICES = 6
+SLICES = 4
 
 
 def _now():
@@ -139,7 +139,7 @@ def alarm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages that come in six slices of time: the last outcome of each. Errors always fail, clicks fail twice, purchases once, views break the contract."""
+    """Events as messages that come in four slices of time: the last outcome of each. Errors always fail, clicks fail twice, purchases once, views break the contract."""
     from .catalog_events import stream_folder
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", retries.STATE_STORE)
@@ -253,7 +253,7 @@ SQL = {
             strftime(asked, '%Y-%m-%d %H:%M:%S') AS scheduled, strftime(upcoming, '%Y-%m-%d %H:%M:%S') AS upcoming FROM n""",
     "stream_retries": """
         WITH b AS (SELECT min(ts) AS low, max(ts) AS high, epoch_us(max(ts)) - epoch_us(min(ts)) AS width FROM events),
-        s AS (SELECT event_id, event_type, ts, least(5, floor((epoch_us(ts) - epoch_us(low)) / (width / 6)))::INT AS slice FROM events, b),
+        s AS (SELECT event_id, event_type, ts, least(3, floor((epoch_us(ts) - epoch_us(low)) / (width / 4)))::INT AS slice FROM events, b),
         w AS (SELECT slice + 1 AS batch, max(epoch_ms(ts)) AS mark FROM s GROUP BY slice),
         m AS (SELECT *, CASE event_type WHEN 'error' THEN 9 WHEN 'click' THEN 2 WHEN 'purchase' THEN 1 WHEN 'view' THEN NULL ELSE 0 END AS fails FROM s),
         two AS (SELECT m.*, (SELECT min(batch) FROM w WHERE batch > slice AND mark >= epoch_ms(m.ts) + 60000) AS second FROM m),

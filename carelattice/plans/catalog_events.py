@@ -164,8 +164,8 @@ def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = _events(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    actions = stream.select((F.col("event_id") % 1000).alias("alarm_id"), "event_id", _named(ACTION_OF).alias("step"))
-    rows = _drain(spark, state.run_actions(actions, "alarm_id", "event_id", "step"), "update")
+    actions = stream.select((F.col("event_id") % 1000).alias("alarm_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), _named(ACTION_OF).alias("step"))
+    rows = _drain(spark, state.run_actions(actions, "alarm_id", "event_id", "step", time_col="at", keep_seconds=90 * 24 * 3600), "update")
     total = F.col("applied") + F.col("refused")
     return rows.groupBy("alarm_id").agg(*(F.max_by(c, total).alias(c) for c in ("status", "applied", "refused")))
 

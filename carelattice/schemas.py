@@ -4,7 +4,7 @@ from __future__ import annotations
 
 MEDICATION = "struct<medication_id: bigint, name: string, dose: string, times_per_day: int, note: string, days: int, prescribed_at: date>"
 INSTRUCTION = "struct<care_advice_id: bigint, content: string, display_order: int, instruction_type: string>"
-FOLLOW_UP = "struct<follow_up_visit_id: bigint, visit_at: timestamp, department: string, doctor_name: string, place: string, purpose: string>"
+FOLLOW_UP = "struct<follow_up_visit_id: bigint, visit_at: timestamp, department: string, doctor_name: string, place: string, purpose: string, institution_name: string>"
 
 PATIENT_CONTEXT = f"""
     user_id bigint, care_episode_id bigint, diagnoses array<string>, surgery string, discharge_date date, medication_days int,

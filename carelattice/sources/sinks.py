@@ -22,7 +22,8 @@ def _path(spark: SparkSession, path: str):
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
     """Write tables together: into a staging folder first, which one rename then makes the next version.
 
-    Readers see either the whole version or none of it; a failure leaves the staging folder only.
+    Readers see either the whole version or none of it; a failure leaves the staging folder only. Versions stand side by side; where
+    readers ask for the current one, use ``commits.publish``.
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
@@ -61,12 +62,15 @@ def partial_update(df: DataFrame, changes: DataFrame, key: str, stamp: Column |
 def upsert_owned(df: DataFrame, changes: DataFrame, key: str, owner: str) -> tuple[DataFrame, DataFrame]:
     """The table after an upsert by natural key, and the changes refused because another owner has the key.
 
-    An accepted row is active again. Nulls in ``key`` never match.
+    An accepted row is active again. Nulls in ``key`` never match. Of several changes with one key one is taken: an accepted one's
+    first by its values, so the key stays unique.
     """
     held = df.select(key, F.col(owner).alias("_owner"))
     known = changes.join(held, key, "left")
     taken = F.coalesce(F.col("_owner") != F.col(owner), F.lit(False))
     accepted, refused = known.filter(~taken).drop("_owner"), known.filter(taken).drop("_owner")
+    own = [c for c in accepted.columns if c != key]
+    accepted = accepted.filter(F.col(key).isNull()).unionByName(accepted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*own)).alias("_row")).select(key, "_row.*"))
     rest = df.join(accepted.select(key), key, "left_anti")
     return rest.unionByName(accepted.withColumn("is_active", F.lit(True)), allowMissingColumns=True), refused
 

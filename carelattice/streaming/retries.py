@@ -102,7 +102,8 @@ def attempts(
     repeated. Messages that aren't ``valid`` (a column; the contract of index jobs unless given) are rejected at once. The clock is the batch's
     processing time, or with ``time_col`` that of the messages and then the column's watermark, ``late`` behind. A failed message is tried again in the first batch at
     or after ``idle_seconds`` from its last attempt, and is dead after ``most`` attempts. A repeated message_id is ignored until ``keep_seconds``
-    after its answer. The session's state store must be ``STATE_STORE``.
+    after its answer. The session's state store must be ``STATE_STORE``. Without ``time_col`` the
+    stream needs a processing-time trigger (``seconds`` of ``write_outcomes``): its timers have no end.
     """
     rows = messages.select("message_id", "fields", F.coalesce(valid if valid is not None else contract(F.col("fields")).isNotNull(), F.lit(False)).alias("valid"), *([time_col] if time_col else []))
     rows = timed(rows, time_col, late)

@@ -63,7 +63,8 @@ def run_actions(
     The same table of moves and of retries as the batch fold; ``skipped`` occurrences become times by ``machines.after_skips``. Within a batch
     actions are taken in ``order``. A key that reaches a status without a way out keeps its state, so that later actions are refused, until
     ``keep_seconds`` have passed on the stream's clock (processing time, or ``time_col``'s watermark) since the last of them; then it is
-    forgotten and would begin anew. So the state holds the keys of that span only. The session's state store must be ``retries.STATE_STORE``.
+    forgotten and would begin anew. So the state holds the keys of that span only. The session's state store must be
+    ``retries.STATE_STORE``. Without ``time_col`` the stream needs a processing-time trigger: its timers have no end.
     """
     rows = timed(stream, time_col, late)
     processor = Actions(key, order, action, moves or ALARM_MOVES, start, most_retries, keep_seconds, time_col is not None)

@@ -37,8 +37,8 @@ def test_cleaning_and_keys(spark):
 def test_medication_and_follow_up_lines(spark):
     m = [((1001, "테스트정", "1정", 2, "아침과 저녁 식사 후 복용", 7, None),), ((2, "b", "", None, None, None, None),)]
     assert values(spark, text.medication_line(F.col("m")), m, f"m {schemas.MEDICATION}") == ["테스트정 · 1정 · 1일 2회 · 아침과 저녁 식사 후 복용 · 7일", "b"]
-    v = [((1, datetime.datetime(2026, 8, 20, 10, 0), "내과", None, "", "검사"),)]
-    assert values(spark, text.follow_up_line(F.col("v")), v, f"v {schemas.FOLLOW_UP}") == ["2026-08-20 10:00 · 내과 · 검사"]
+    v = [((1, datetime.datetime(2026, 8, 20, 10, 0), "내과", None, "", "검사", None),), ((2, None, "내과", None, "", None, "병원"),), ((3, None, None, "의사", "2층", None, "병원"),)]
+    assert values(spark, text.follow_up_line(F.col("v")), v, f"v {schemas.FOLLOW_UP}") == ["2026-08-20 10:00 · 내과 · 검사", "내과 · 병원", "의사 · 2층"]
 
 
 def test_sections(spark):

@@ -190,7 +190,7 @@ def test_constraints(spark):
     assert quality.violation_counts(jobs, quality.catalogue()["index_jobs"]).first().asDict() == {"job_id": 1, "manifest_path": 1, "overlap": 1}
 
 
-CONTEXT = (1, 100, ["고혈압"], "수술", datetime.date(2026, 8, 1), 7, None, None, "f" * 64, AT(2026, 8, 1), [(1001, "테스트정", "1정", 2, None, 7, None)], [(11, "b", 2, "PRECAUTION"), (12, "a", 1, "WARNING_SIGN"), (None, "c", 3, None)], [(21, AT(2026, 8, 20, 10), "내과", None, None, "검사")])
+CONTEXT = (1, 100, ["고혈압"], "수술", datetime.date(2026, 8, 1), 7, None, None, "f" * 64, AT(2026, 8, 1), [(1001, "테스트정", "1정", 2, None, 7, None)], [(11, "b", 2, "PRECAUTION"), (12, "a", 1, "WARNING_SIGN"), (None, "c", 3, None)], [(21, AT(2026, 8, 20, 10), "내과", None, None, "검사", None)])
 
 
 def test_assembly(spark):
