@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import UTC
+from datetime import UTC, datetime, timedelta
+from functools import cache
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType, TimestampType
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 #: Seconds before the first retry; each further one doubles.
 RETRY_BASE_SECONDS = 30
 
@@ -22,14 +25,21 @@ def zone(name: str) -> ZoneInfo:
         raise ValueError(f"unknown time zone: {name}") from exc
 
 
+@cache
+def zone_names() -> list[str]:
+    """The time zones that both Python and Spark's Java know; the three short names are fixed offsets that Spark adds to Java's."""
+    java = SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return sorted(available_timezones() & {*java, "EST", "HST", "MST"})
+
+
 def known_zone(name: Column) -> Column:
     """Is this the name of a time zone?"""
-    return F.coalesce(name.isin(*sorted(available_timezones())), F.lit(False))
+    return F.coalesce(name.isin(*zone_names()), F.lit(False))
 
 
-@F.pandas_udf(StructType([StructField("upcoming", TimestampType()), StructField("valid", BooleanType())]))
+@F.pandas_udf(StructType([StructField("micros", LongType()), StructField("valid", BooleanType())]))
 def _next_by_rule(rule: pd.Series, start: pd.Series, after: pd.Series, name: pd.Series) -> pd.DataFrame:
-    """By local clocks of the zone. A rule that can't be read is not valid; neither it nor an unknown zone fails the task."""
+    """By local clocks of the zone; times are microseconds since 1970. A rule that can't be read is not valid; neither it nor an unknown zone fails the task."""
     from dateutil.rrule import rrulestr
 
     found, known = [], {}
@@ -39,15 +49,15 @@ def _next_by_rule(rule: pd.Series, start: pd.Series, after: pd.Series, name: pd.
             continue
         try:
             own = ZoneInfo(z)
-            local = lambda t, own=own: t.tz_localize("UTC").tz_convert(own).tz_localize(None).to_pydatetime() if t.tzinfo is None else t.tz_convert(own).tz_localize(None).to_pydatetime()
+            local = lambda micros, own=own: (EPOCH + timedelta(microseconds=int(micros))).astimezone(own).replace(tzinfo=None)
             if (r, s, z) not in known:
                 known[r, s, z] = rrulestr(r, dtstart=local(s))
             upcoming = known[r, s, z].after(local(a), inc=False)
         except (ValueError, TypeError, KeyError, ZoneInfoNotFoundError):
             found.append((None, False))
             continue
-        found.append((upcoming and upcoming.replace(tzinfo=own).astimezone(UTC).replace(tzinfo=None), True))
-    return pd.DataFrame({"upcoming": pd.Series([x for x, _ in found], dtype="datetime64[ns]").dt.tz_localize("UTC"), "valid": pd.Series([v for _, v in found], dtype=object)})
+        found.append((upcoming and (upcoming.replace(tzinfo=own) - EPOCH) // timedelta(microseconds=1), True))
+    return pd.DataFrame({"micros": pd.Series([x for x, _ in found], dtype="Int64"), "valid": pd.Series([v for _, v in found], dtype=object)})
 
 
 #: Rules that are plain arithmetic, and their step in days.
@@ -84,13 +94,15 @@ def next_occurrence(rule: Column, start: Column, after: Column, zone_name: Colum
     """
     plain = rule.isin(*PLAIN_RULES)
     if zone_name is None:
-        return F.when(plain, next_plain_occurrence(rule, start, after)).otherwise(_by_rule(F.when(~plain, rule), start, after, F.lit("UTC"))["upcoming"])
+        return F.when(plain, next_plain_occurrence(rule, start, after)).otherwise(_by_rule(F.when(~plain, rule), start, after, F.current_timezone())["upcoming"])
     fine = F.when(known_zone(zone_name), zone_name)
     return F.when(plain, next_local_occurrence(rule, start, after, fine)).otherwise(_by_rule(F.when(~plain, rule), start, after, fine)["upcoming"])
 
 
 def _by_rule(rule: Column, start: Column, after: Column, zone_name: Column) -> Column:
-    return _next_by_rule(rule, start.cast("timestamp"), after.cast("timestamp"), zone_name)
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    found = _next_by_rule(rule, micros(start), micros(after), zone_name)
+    return F.struct(F.timestamp_micros(found["micros"]).alias("upcoming"), found["valid"].alias("valid"))
 
 
 def rule_is_valid(rule: Column, start: Column) -> Column:

@@ -26,7 +26,8 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     """
     rule = F.nullif("recurrence_rule", F.lit(""))
     aware = F.coalesce(F.col("scheduled_at").rlike(AWARE), F.lit(False))
-    timed = requests.withColumns({"_rule": rule, "scheduled": F.when(aware, F.try_to_timestamp("scheduled_at")), "_zone": dates.known_zone(F.col("timezone"))})
+    whole = F.regexp_replace("scheduled_at", r"^(.{16})(Z|[+-])", "$1:00$2")
+    timed = requests.withColumns({"_rule": rule, "scheduled": F.when(aware, F.try_to_timestamp(whole)), "_zone": dates.known_zone(F.col("timezone"))})
     timed = timed.withColumn("upcoming", dates.next_occurrence(F.col("_rule"), F.col("scheduled"), F.col("scheduled"), F.col("timezone")))
     timed = timed.withColumn("_valid", dates.rule_is_valid(F.when(F.col("scheduled").isNotNull(), F.col("_rule")), F.col("scheduled")))
     medication, slot = F.col("alarm_type") == "MEDICATION", F.col("meal_slot").isNotNull()

@@ -77,7 +77,7 @@ def rrule_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.col("event_id") % 2 == 0, "FREQ=WEEKLY;BYDAY=MO,TH").otherwise("FREQ=MONTHLY;BYMONTHDAY=15;COUNT=3")
     at = lambda c: c.cast("timestamp")
     following = dates.next_occurrence(rule, at(F.to_timestamp_ntz(F.lit("2023-12-30 08:00:00"))), at(F.date_trunc("HOUR", "ts")))
-    return _events(spark, sf_dir).filter("event_type = 'view'").select("event_id", F.date_format(following, "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+    return _events(spark, sf_dir).select("event_id", F.date_format(following, "yyyy-MM-dd HH:mm:ss").alias("next_at"))
 
 
 def _alarms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -220,6 +220,13 @@ _DUE = f"""
         WHERE event_type <> 'error' AND event_type <> 'view' AND date_trunc('second', ts) <= TIMESTAMP '{NOW}' ORDER BY date_trunc('second', ts), event_id LIMIT 100
     )"""
 SQL = {
+    "rrule_general": """
+        WITH e AS (SELECT event_id, date_trunc('hour', ts) AS h, date_trunc('day', ts) AS d FROM events),
+        c AS (
+            SELECT event_id, h, unnest(CASE WHEN event_id % 2 = 0 THEN list_filter(list_transform(range(9), lambda i: d + INTERVAL 1 DAY * i + INTERVAL 8 HOUR), lambda x: dayofweek(x) IN (1, 4))
+                ELSE [TIMESTAMP '2024-01-15 08:00:00', TIMESTAMP '2024-02-15 08:00:00', TIMESTAMP '2024-03-15 08:00:00'] END) AS x FROM e
+        )
+        SELECT event_id, strftime(min(x) FILTER (WHERE x > h), '%Y-%m-%d %H:%M:%S') AS next_at FROM c GROUP BY event_id""",
     "max_priority": """SELECT user_id, max_by(event_type, p) AS top, max(p) AS priority FROM (
         SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS p FROM events) GROUP BY user_id""",
     "first_n_due": f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{NOW}' AND event_type = 'error' ORDER BY ts, event_id LIMIT 100",

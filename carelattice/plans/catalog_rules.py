@@ -37,10 +37,32 @@ def risk_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", level.alias("level"), F.array_join(risk["codes"], ",").alias("codes"))
 
 
+#: What turns are made to ask, and the codes that each wording must give.
+ASKED = (
+    ("", ""), ("약을 끊어도 되나요?", "MEDICATION_CHANGE_REQUEST"), ("아스피린 용량을 줄여도 되나요", "MEDICATION_CHANGE_REQUEST"), ("무슨 병인가요?", "DIAGNOSIS_REQUEST"), ("진단해 주세요", "DIAGNOSIS_REQUEST"),
+    ("수술을 받아야 하나요", "TREATMENT_DECISION_REQUEST"), ("입원 치료를 결정", "TREATMENT_DECISION_REQUEST"), ("가슴이 너무 아프고 숨 쉬기 힘들어요", "EMERGENCY_SYMPTOM"), ("갑자기 말이 안 나와요", "EMERGENCY_SYMPTOM"),
+    ("약을 끊고 수술을 받아야 하나요", "MEDICATION_CHANGE_REQUEST,TREATMENT_DECISION_REQUEST"), ("운동을 해도 되나요", ""),
+)
+#: What turns are made to answer, and the code that each wording must give.
+ANSWERED = (
+    ("물을 드세요.", None), ("@ 끊으세요.", "MEDICATION_CHANGE_INSTRUCTION"), ("약을 중단하셔도 됩니다.", "MEDICATION_CHANGE_INSTRUCTION"), ("@ 좋습니다. 내일부터 건너뛰세요.", "MEDICATION_CHANGE_INSTRUCTION"),
+    ("복용량을 늘려야 합니다.", "MEDICATION_CHANGE_INSTRUCTION"), ("운동을 바꾸세요.", None), ("뇌졸중으로 판단됩니다.", "DIAGNOSTIC_ASSERTION"), ("질환의 가능성이 높습니다", "DIAGNOSTIC_ASSERTION"), ("입원 치료가 필요합니다.", "TREATMENT_DECISION"),
+)
+
+
+def _spoken(wordings, shift: int = 1):
+    """One of the wordings for each turn."""
+    return F.element_at(F.array(*(F.lit(w) for w, _ in wordings)), ((F.col("conv_id") + F.col("turn") * shift) % len(wordings) + 1).cast("int"))
+
+
+def _sql_expected(wordings, shift: int = 1) -> str:
+    return f"[{', '.join('NULL' if code is None else f"'{code}'" for _, code in wordings)}][(conv_id + turn * {shift}) % {len(wordings)} + 1]"
+
+
 def risk_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The domain's own pack over all turns; the tables have none of its wording, so every level is LOW."""
-    risk = rules.assess_risk(F.col("text"))
-    return _turns(spark, sf_dir).select("conv_id", "turn", risk["level"].alias("level"), F.size(risk["codes"]).alias("n_codes"))
+    """The domain's own pack over all turns, each of which asks something that meets a pattern, or none."""
+    risk = rules.assess_risk(F.concat(F.col("text"), F.lit("\n"), _spoken(ASKED)))
+    return _turns(spark, sf_dir).select("conv_id", "turn", risk["level"].alias("level"), F.array_join(risk["codes"], ",").alias("codes"))
 
 
 def output_guard_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +72,10 @@ def output_guard_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_guard_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The domain's guard, with a medication name of each conversation's own as a column pattern."""
+    """The domain's guard over answers that break each rule, with a medication name of each conversation's own as a column pattern; some lack the notice."""
     name = F.concat(F.lit("med"), F.col("conv_id").cast("string"))
     meds = F.array(F.struct(name.alias("name"), F.lit(None).cast("string").alias("dose"), F.lit(None).cast("int").alias("times_per_day"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("int").alias("days")))
-    says = F.when(F.col("turn") % 3 == 0, F.concat(F.col("text"), F.lit(" "), name, F.lit(" 끊으세요"))).otherwise(F.concat(F.col("text"), F.lit(" 의사 진료를 대체하지 않습니다")))
+    says = F.concat(F.col("text"), F.lit("\n"), F.replace(_spoken(ANSWERED, 2), F.lit("@"), name), F.when(F.col("turn") % 3 != 0, "\n의사 진료를 대체하지 않습니다").otherwise(""))
     found = rules.guard_answer(says, F.lit("GENERAL"), meds)
     return _turns(spark, sf_dir).select("conv_id", "turn", found["status"].alias("status"), found["code"].alias("code"))
 
@@ -66,17 +88,19 @@ def output_guard_collect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's customers as chunks, with their segments as topics, against its suppliers' instructions."""
-    nations = table(spark, sf_dir, "nation").select("n_nationkey")
-    own = F.element_at(F.array(*map(F.lit, ["BUILDING", "MACHINERY", "FURNITURE"])), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    topics = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_set(own).alias("topics"))
-    topic = F.when(F.col("c_custkey") % 50 != 0, F.concat(F.lit(" "), F.lower("c_mktsegment"))).otherwise(" ")
-    chunks = table(spark, sf_dir, "customer").filter("c_nationkey % 6 <> 5 AND c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), topic.alias("topic"))
-    both = nations.join(topics, "n_nationkey", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
-    marked = chunks.join(both, "n_nationkey").select("n_nationkey", F.col("topic").isNotNull().alias("c"), (F.trim("topic") == "").alias("missing"), rules.is_excluded(F.col("topic"), F.col("topics")).alias("excluded"))
-    counts = marked.groupBy("n_nationkey").agg(F.count("c").alias("chunks"), F.count_if("missing").alias("missing"), F.count_if("excluded").alias("excluded"))
-    found = both.join(counts, "n_nationkey", "left").fillna(0, ["chunks", "missing", "excluded"])
-    return found.select("n_nationkey", "chunks", "excluded", rules.conflict_status(F.col("chunks"), F.size("topics"), F.col("missing"), F.col("excluded")).alias("status"))
+    """All customers as chunks and all suppliers as instructions of 250 episodes; the cases are made so that each status occurs."""
+    customer, supplier = F.col("c_custkey"), F.col("s_suppkey")
+    own = F.element_at(F.array(*map(F.lit, ["BUILDING", "MACHINERY", "FURNITURE"])), (supplier % 3 + 1).cast("int"))
+    topics = table(spark, sf_dir, "supplier").groupBy((supplier % 250).alias("episode")).agg(F.collect_set(own).alias("topics"))
+    episode = customer % 200
+    topic = F.when((episode % 4 == 1) & (customer % 3 == 0), " ").when(episode % 4 == 2, F.element_at(F.array(*map(F.lit, ["building ", " machinery", "Furniture"])), (episode % 3 + 1).cast("int"))).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))
+    chunks = table(spark, sf_dir, "customer").select(episode.alias("episode"), topic.alias("topic"))
+    episodes = topics.select("episode").unionByName(chunks.select("episode")).distinct()
+    both = episodes.join(topics, "episode", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+    marked = chunks.join(both, "episode").select("episode", F.col("topic").isNotNull().alias("c"), (F.trim("topic") == "").alias("missing"), rules.is_excluded(F.col("topic"), F.col("topics")).alias("excluded"))
+    counts = marked.groupBy("episode").agg(F.count("c").alias("chunks"), F.count_if("missing").alias("missing"), F.count_if("excluded").alias("excluded"))
+    found = both.join(counts, "episode", "left").fillna(0, ["chunks", "missing", "excluded"])
+    return found.select("episode", "chunks", "excluded", rules.conflict_status(F.col("chunks"), F.size("topics"), F.col("missing"), F.col("excluded")).alias("status"))
 
 
 def route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,21 +139,24 @@ QUERIES = {
 SQL = {
     "risk_classify": f"""SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN 'HIGH' WHEN role = 'system' THEN 'CAUTION' ELSE 'LOW' END AS level, array_to_string(c, ',') AS codes
         FROM (SELECT *, {_SQL_CODES} AS c FROM conversations)""",
-    "risk_of_questions": "SELECT conv_id, turn, 'LOW' AS level, 0 AS n_codes FROM conversations WHERE NOT regexp_matches(text, '[가-힣]')",
+    "risk_of_questions": f"SELECT conv_id, turn, CASE WHEN codes = '' THEN 'LOW' ELSE 'HIGH' END AS level, codes FROM (SELECT *, {_sql_expected(ASKED)} AS codes FROM conversations)",
     "output_guard_first_hit": f"""SELECT conv_id, turn, code, CASE WHEN code IS NULL THEN 'SAFE' WHEN code = 'NO_NOTICE' THEN 'RESTRICTED' ELSE 'BLOCKED' END AS status FROM (
         SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN c[-1] WHEN NOT contains(text, 'de') THEN 'NO_NOTICE' END AS code FROM (SELECT *, {_SQL_CODES} AS c FROM conversations WHERE role = 'assistant'))""",
-    "output_guard_answers": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'BLOCKED' ELSE 'SAFE' END AS status, CASE WHEN turn % 3 = 0 THEN 'MEDICATION_CHANGE_INSTRUCTION' END AS code FROM conversations",
+    "output_guard_answers": f"""
+        WITH c AS (SELECT *, coalesce({_sql_expected(ANSWERED, 2)}, CASE WHEN turn % 3 = 0 THEN 'MISSING_MEDICAL_DISCLAIMER' END) AS code FROM conversations)
+        SELECT conv_id, turn, CASE WHEN code IS NULL THEN 'SAFE' WHEN code = 'MISSING_MEDICAL_DISCLAIMER' THEN 'RESTRICTED' ELSE 'BLOCKED' END AS status, code FROM c""",
     "output_guard_collect_all": f"""
         WITH t AS (SELECT conv_id, turn, unnest({_SQL_CODES}) AS code, generate_subscripts({_SQL_CODES}, 1) AS place FROM conversations),
         f AS (SELECT conv_id, code, min(turn * 10 + place) AS place FROM t GROUP BY conv_id, code)
         SELECT c.conv_id, coalesce(string_agg(code, ',' ORDER BY place), '') AS codes FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id""",
     "conflict_resolve": """
-        WITH t AS (SELECT s_nationkey AS k, list(DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END) AS topics FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1),
-        c AS (SELECT c_nationkey AS k, CASE WHEN c_custkey % 50 <> 0 THEN c_mktsegment END AS topic FROM customer WHERE c_nationkey % 6 <> 5 AND c_acctbal > 9000),
-        n AS (SELECT n_nationkey, coalesce(topics, []) AS topics FROM nation LEFT JOIN t ON k = n_nationkey),
-        a AS (SELECT n_nationkey, any_value(len(topics)) AS topics, count(c.k) AS chunks, count(c.k) FILTER (WHERE topic IS NULL) AS missing,
-            count(c.k) FILTER (WHERE topic IS NULL OR list_contains(topics, topic)) AS excluded FROM n LEFT JOIN c ON c.k = n_nationkey GROUP BY n_nationkey)
-        SELECT n_nationkey, chunks, excluded, CASE WHEN chunks = 0 THEN 'NOT_APPLICABLE' WHEN topics = 0 THEN 'NO_CONFLICT' WHEN missing > 0 THEN 'REVIEW_REQUIRED' WHEN excluded = 0 THEN 'NO_CONFLICT'
+        WITH t AS (SELECT s_suppkey % 250 AS k, list(DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END) AS topics FROM supplier GROUP BY 1),
+        c AS (
+            SELECT c_custkey % 200 AS k, CASE WHEN (c_custkey % 200) % 4 = 1 AND c_custkey % 3 = 0 THEN NULL WHEN (c_custkey % 200) % 4 = 2 THEN ['BUILDING', 'MACHINERY', 'FURNITURE'][(c_custkey % 200) % 3 + 1] ELSE c_mktsegment END AS topic FROM customer
+        ), n AS (SELECT k AS episode, coalesce(topics, []) AS topics FROM (SELECT k FROM t UNION SELECT k FROM c) LEFT JOIN t USING (k)),
+        a AS (SELECT episode, any_value(len(topics)) AS topics, count(c.k) AS chunks, count(c.k) FILTER (WHERE topic IS NULL) AS missing,
+            count(c.k) FILTER (WHERE topic IS NULL OR list_contains(topics, topic)) AS excluded FROM n LEFT JOIN c ON c.k = episode GROUP BY episode)
+        SELECT episode, chunks, excluded, CASE WHEN chunks = 0 THEN 'NOT_APPLICABLE' WHEN topics = 0 THEN 'NO_CONFLICT' WHEN missing > 0 THEN 'REVIEW_REQUIRED' WHEN excluded = 0 THEN 'NO_CONFLICT'
             WHEN excluded = chunks THEN 'PUBLIC_SOURCE_EXCLUDED' ELSE 'PATIENT_DATA_PRIORITY' END AS status FROM a""",
     "route": """
         WITH r AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'CLARIFICATION' WHEN turn % 7 = 6 THEN 'RESTRICTED' WHEN role = 'user' THEN 'PATIENT_AND_RAG' WHEN role = 'assistant' THEN 'PATIENT_ONLY' ELSE 'RESTRICTED' END AS route FROM conversations),

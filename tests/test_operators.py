@@ -264,11 +264,3 @@ def test_index_jobs_stream(spark, tmp_path):
     (inbox / "2.json").write_text(json.dumps(message("later")))
     go()
     assert sorted(r.message_id for r in read("done").collect()) == ["good", "later"]
-
-
-def test_acknowledged_stream(spark, tmp_path):
-    spark.createDataFrame([(1, 1, "DELIVERED"), (1, 2, "SENT"), (1, 3, "DELIVERED"), (1, 4, "DELIVERED"), (2, 1, "DELIVERED")], "k int, at int, event_type string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k int, at int, event_type string").parquet(str(tmp_path / "in"))
-    out = state.acknowledged(stream, ["k"], "at").writeStream.format("memory").queryName("acks").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination()
-    assert [tuple(r) for r in spark.table("acks").collect()] == [(1, 3)]
