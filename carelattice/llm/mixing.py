@@ -68,38 +68,15 @@ def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     return queued.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins")
 
 
-#: The order of the mix: by virtual finish time; the others only settle ties.
-_ORDER = ("finish", "text_hash", "tie", "turn")
+def _cut(queued: DataFrame) -> float:
+    """The virtual time at which all sources together have been served the budget.
 
-
-def _turns(queued: DataFrame) -> list:
-    """The keys of a row's turns in the order of the mix; a source is served at the rate of its target."""
-    ends = lambda i: (F.col("begins") + F.col("size") + i * F.col("source_size")) / F.col("target")
-    keys = lambda i: (ends(i), F.col("text_hash"), F.xxhash64("source", "doc_id"), F.lit(i))
-    return [F.struct(*(c.alias(n) for c, n in zip(keys(i), _ORDER, strict=True))) for i in range(REPEATS)]
-
-
-def _cut(queued: DataFrame) -> tuple | None:
-    """Where the running total of all turns, in the order of the mix, reaches the budget: the key of that turn and its words before the cut.
-
-    The range sort deals the turns to partitions in order; only one total of each partition reaches the driver,
-    and only the partition that the budget ends in is walked row by row.
+    In virtual time every source is served at the rate of its target, and none is used up before its target is reached. So the
+    running total over the global order is the time passed times the sum of the rates, and needs no walk.
     """
-    spark = queued.sparkSession
-    turns = queued.filter("size > 0 AND target > 0").select("size", F.explode(F.array(*_turns(queued))).alias("at")).select("size", "at.*")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = materialize(turns.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()), "turns")
-    totals = ordered.groupBy("part").agg(F.sum("size").alias("words")).orderBy("part").toPandas()
-    targets = queued.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0]
-    budget, before = round(targets or 0), 0
-    for part, words in totals.itertuples(index=False):
-        if before + words >= budget > 0:
-            running = Window.partitionBy("part").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            reached = ordered.filter(F.col("part") == int(part)).withColumn("total", F.sum("size").over(running) + int(before)).filter(F.col("total") >= budget)
-            last = reached.orderBy(*_ORDER).first()
-            return tuple(last[c] for c in _ORDER), int(budget - (last["total"] - last["size"]))
-        before += words
-    return None
+    rates = queued.groupBy("source").agg(F.max("target").alias("target"), F.max("source_size").alias("size"))
+    total, words = rates.agg(F.sum("target"), F.sum("size")).first()
+    return min(BUDGET, REPEATS) * words / total if total else 0.0
 
 
 def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -111,27 +88,23 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     second turn), taken (words).
 
     A source's documents are queued in an order shuffled by a hash of identifier and text, and
-    queued again after that, up to ``REPEATS`` times. All turns of all sources stand in one order, that of their finish times;
-    they are taken from its beginning until the total budget is reached, and the turn that reaches it is cut there. So a source
-    misses its target by the words of about one document at most, and no
+    queued again after that, up to ``REPEATS`` times. All turns of all sources stand in one order, that of their finish times, and
+    the order is truncated at the virtual time at which the total budget is reached: turns that have finished by then are whole, each
+    source's turn in service has the words that it was served by then, and what comes later is not taken. So a source
+    misses its target by less than a word at any size, and no
     document exceeds ``REPEATS`` times its size. Empty texts take 0; a source without words has
     target 0. A null source is one source; rows repeated with one identifier are queued each; an empty table gives no rows.
     Reruns agree, up to which of two rows alike in identifier and text is which.
     """
     queued = materialize(_queues(docs, id_col, text_col, source_col, seed), "queue")
-    cut = _cut(queued)
-    if cut is None:
-        taken = F.lit(0).cast("long")
-    else:
-        key, rest = cut
-        last = F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(key, ("double", "long", "long", "int"), _ORDER, strict=True)))
-        turn = lambda at: F.when(at < last, F.col("size")).when(at == last, F.lit(rest).cast("long")).otherwise(F.lit(0).cast("long"))
-        whole = sum((turn(at) for at in _turns(queued)[1:]), turn(_turns(queued)[0]))
-        taken = F.when((F.col("size") > 0) & (F.col("target") > 0), whole).otherwise(F.lit(0).cast("long"))
-    plan = queued.withColumn("taken", taken)
-    for i, at in enumerate(_turns(queued)):
-        plan = plan.withColumn("finish" if i == 0 else f"finish_{i + 1}", F.when(F.col("target") > 0, at["finish"]))
+    time = _cut(queued)
+    starts = [F.col("begins") + i * F.col("source_size") for i in range(REPEATS)]
+    served = F.round(F.col("target") * F.lit(time)).cast("long")
+    turn = lambda start: F.least(F.greatest(served - start, F.lit(0).cast("long")), F.col("size"))
+    plan = queued.withColumn("taken", sum((turn(s) for s in starts[1:]), turn(starts[0])))
     finishes = ["finish" if i == 0 else f"finish_{i + 1}" for i in range(REPEATS)]
+    for name, start in zip(finishes, starts, strict=True):
+        plan = plan.withColumn(name, F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")))
     plan = plan.select("doc_id", "source", "text_hash", "size", "source_size", "target", "begins", *finishes, "taken")
     return plan.repartitionByRange("finish", "text_hash").sortWithinPartitions("finish", "text_hash")
 
@@ -139,7 +112,7 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """The mix itself: rows of ``docs`` with its columns, in the order of their virtual finish times.
 
-    Documents are taken whole; the one turn that the cut falls into counts if at least half of its words come before it. A document
+    Documents are taken whole; a source's turn that the cut falls into counts if at least half of its words were served. A document
     taken twice is two rows; a document that isn't taken, or has no words (null and blank texts), is no row. A null
     source is one source. Rows alike in identifier and text are queued each. An empty table stays empty; columns may have any names.
     """
