@@ -3,12 +3,14 @@
 ``aggregate`` folds ranked merges over the bytes of a word, looking ranks up in a literal map; bytes are
 characters of ISO-8859-1. The common words of a bounded sample of the texts are folded first and broadcast;
 any other word is folded in the row of the text that holds it, once for each text, so nothing is shuffled
-but the sample's words. Decoding concatenates the tokens' binary pieces.
+but the sample's words. A word of ``LONG_FOLD`` bytes or more that can't be cut (one sign over and over) is merged by a heap instead, in the
+same order. Decoding concatenates the tokens' binary pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ LONG_WORD = 48
 #: Words in each of the two halves that a worker keeps ready, and distinct words it gathers before it emits them.
 KEPT_WORDS, GATHERED_WORDS = 90_000, 300_000
 NO_RANK, PLACES = 2**31 - 1, 1 << 20
+#: Bytes from which an uncut word is merged by a heap: the fold copies its state at each merge, so its work grows with the square of a word.
+LONG_FOLD = 1024
 
 
 @cache
@@ -90,6 +94,35 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return _let(_rank(word, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(ids))
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one long word, by the same merges in the same order as ``fold_merges``: a heap of the pairs' ranks and places, so n log n."""
+    ends, before, heap = list(range(1, len(word) + 1)), list(range(-1, len(word))), []
+
+    def offer(at: int) -> None:
+        after = ends[at]
+        rank = ranks.get(word[at : ends[after]]) if after < len(word) else None
+        if rank is not None:
+            heapq.heappush(heap, (rank, at, after, ends[after]))
+
+    for i in range(len(word) - 1):
+        offer(i)
+    while heap:
+        _, at, middle, end = heapq.heappop(heap)
+        if ends[at] != middle or ends[middle] != end:  # one of the two has been merged since
+            continue
+        ends[at], ends[middle] = end, -1
+        if end < len(word):
+            before[end] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    out, at = [], 0
+    while at < len(word):
+        out.append(ranks[word[at : ends[at]]])
+        at = ends[at]
+    return out
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``words(word binary, ...)`` with column ids, by expressions of Spark alone. The literal map is bound once, so the plan holds one copy."""
     return words.withColumn("ids", _let(rank_literal(ranks), lambda literal: _let(F.decode("word", "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))))
@@ -189,7 +222,8 @@ def _parts(path: str, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: Common = shared.value
-        pieces = {rank: token for token, rank in load_ranks(path).items()}
+        ranks = load_ranks(path)
+        pieces = {rank: token for token, rank in ranks.items()}
         told = lambda ids: ids and (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]).decode())
         kept: dict[str, tuple[int, str, str] | None] = {}
         older: dict[str, tuple[int, str, str] | None] = {}
@@ -202,8 +236,11 @@ def _parts(path: str, shared):
                     older, kept = kept, {}
                 kept.update((w, older[w]) for w in words if w in older)
                 new = [w for w in words if w not in kept]
-                kept.update(zip(new, map(told, common.find(new)), strict=True))
+                long = {i for i, w in enumerate(new) if 4 * len(w) >= LONG_FOLD and len(w.encode()) >= LONG_FOLD}
+                kept.update((w, told(merge_long(w.encode(), ranks) if i in long else ids)) for i, (w, ids) in enumerate(zip(new, common.find(new), strict=True)))
                 entries = [kept[w] for w in words]
+                for i in long:  # too large to keep
+                    del kept[new[i]]
                 count = np.array([e[0] if e else 0 for e in entries], np.int64)
                 sums = np.concatenate(([0], np.cumsum(count[place]))) if len(place) else np.zeros(1, np.int64)
                 rare = np.flatnonzero(count[place] == 0) if len(place) else place

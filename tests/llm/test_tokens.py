@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -145,3 +146,19 @@ def test_words_that_collide_keep_their_own_tokens(spark):
     check_counts(rows, token_counts.token_counts(docs, JSON).collect())
     check_shards(rows, sstable.encode_to_shards(docs, JSON).collect())
     check_bpe(rows, bpe_fold.encode_and_decode(docs, RANKS).collect())
+
+
+@pytest.mark.parametrize("word", ["=" * 1_200_000, "ea" * 500_000, "=" * 1023, "=" * 1024, "=-" * 2000, "".join(brute.thue_morse(4096)), "aab" * 3000])
+def test_very_long_words(word):
+    """Over a million bytes that can't be cut, merged in seconds."""
+    ranks = bpe_fold.load_ranks(RANKS)
+    began = time.time()
+    ids = bpe_fold.merge_long(word.encode(), ranks)
+    assert time.time() - began < 60
+    assert ids == tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(word)
+
+
+def test_long_words_among_others(spark):
+    words = ["=" * 300_000, "ea" * 40_000, "=" * 1023 + "é", "日" * 2000, "=" * 1000]
+    rows = [{"doc_id": i, "text": f"a {w} b {w}\n{w}"} for i, w in enumerate(words)]
+    check_bpe(rows, bpe_fold.encode_and_decode(brute.frame(spark, rows), RANKS).collect())
