@@ -69,11 +69,25 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = PAGE_S
 
 
 def page_with_total(df: DataFrame, order: list[Column], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """The page with the count of all rows beside each row: a partial count and a top-k, no global window."""
+    """The page with the count of all rows beside each row: a partial count and a top-k, no global window.
+
+    A page past the end has no rows and so no total; ``listing`` has it then too.
+    """
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return page(df, order, number, size).join(F.broadcast(total))  # one row by one count
 
 
+def listing(df: DataFrame, order: list[Column], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One row for a page: its rows in their order as ``items`` (none past the end), ``total``, ``offset`` and ``limit``.
+
+    At most a page of rows is gathered.
+    """
+    found = page(df, order, number, size).withColumn("_place", F.row_number().over(Window.orderBy(*order)))  # a window over one page
+    items = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.struct(*df.columns).alias("item")))), lambda x: x["item"]).alias("items"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return items.join(F.broadcast(total)).select("items", "total", F.lit((number - 1) * size).alias("offset"), F.lit(size).alias("limit"))
+
+
 def first_due(df: DataFrame, due: Column, order: list[Column], most: int = 100) -> DataFrame:
     """The first ``most`` rows that are due. The condition comes before the limit, so rows that aren't can't fill the batch."""
     return df.filter(due).orderBy(*order).limit(most)

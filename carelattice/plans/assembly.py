@@ -149,3 +149,11 @@ def from_legacy(m: Column) -> Column:
         F.coalesce(m["times_per_day"], collections.first_integer(m["frequency"])).alias("times_per_day"),
         F.coalesce(m["note"], m["administration_instruction"]).alias("note"), F.coalesce(m["days"], collections.first_integer(m["duration"])).alias("days"),
     )
+
+
+def visit_from_legacy(v: Column) -> Column:
+    """A follow-up visit given in older field names beside or in place of the newer ones: scheduled_at for visit_at, description for purpose."""
+    return F.struct(
+        v["follow_up_visit_id"].alias("follow_up_visit_id"), F.coalesce(v["visit_at"], v["scheduled_at"]).alias("visit_at"), v["department"].alias("department"), v["doctor_name"].alias("doctor_name"),
+        v["place"].alias("place"), F.coalesce(v["purpose"], v["description"]).alias("purpose"), v["institution_name"].alias("institution_name"),
+    )

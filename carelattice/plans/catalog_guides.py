@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import quality
+from ..functions import text
+from ..operators import quality, relational
 from ..sources import vector_table
 from ..sources.readers import table
 from . import assembly
@@ -59,6 +60,24 @@ def recovery_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patients(spark, sf_dir).select("o_orderkey", guide.alias("g")).select("o_orderkey", *map(shown, names), F.size("g.warning_signs").alias("n_warnings"))
 
 
+def visit_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as visits in older and newer field names, as the lines that a guide shows."""
+    n, at = F.col("l_linenumber"), F.col("l_shipdate").cast("timestamp")
+    none = F.lit(None).cast("string")
+    old = F.struct(
+        F.col("l_suppkey").cast("long").alias("follow_up_visit_id"), F.when(n % 2 == 0, at).alias("visit_at"), F.when(n != 3, at + F.expr("INTERVAL '1' DAY")).alias("scheduled_at"), none.alias("department"), F.col("l_returnflag").alias("doctor_name"),
+        F.when(n > 4, "").otherwise(F.when(n > 2, "room")).alias("place"), F.when(n % 3 == 0, "check").alias("purpose"), F.when(n != 5, "older").alias("description"), F.when(n != 6, "clinic").alias("institution_name"),
+    )
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", n, "l_partkey", text.follow_up_line(assembly.visit_from_legacy(old)).alias("line"))
+
+
+def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of orders and one past the end, each with the total."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    page = lambda number: relational.listing(orders, [F.desc("o_orderdate"), F.desc("o_orderkey")], number, 50)
+    return page(2).unionByName(page(1_000_000)).select("offset", F.size("items").alias("n"), "total", F.array_join(F.transform("items", lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"))
+
+
 def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in batches of ten, some with a list too short or a vector cut: the points of the batches that are taken, and the errors of the others."""
     n = F.floor(F.col("vec_id") / 10).cast("long")
@@ -116,7 +135,7 @@ def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.table_violations(tables)
 
 
-QUERIES = {f.__name__: f for f in (chat_citations, recovery_guide, vec_pairs, ocr_violations, key_violations, record_violations)}
+QUERIES = {f.__name__: f for f in (chat_citations, recovery_guide, visit_aliases, order_listing, vec_pairs, ocr_violations, key_violations, record_violations)}
 
 _LINES = """
         WITH p AS (
@@ -148,6 +167,13 @@ SQL = {
             string_agg(concat_ws(' · ', strftime(l_shipdate, '%Y-%m-%d %H:%M'), CASE WHEN l_linenumber % 3 = 0 THEN 'dept' END, 'visit',
                 CASE WHEN l_linenumber % 4 = 2 THEN 'place' WHEN l_linenumber <> 5 THEN 'clinic' END), '|' ORDER BY place) AS follow_up_schedule, 0 AS n_warnings
         FROM p JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "visit_aliases": """
+        SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(' · ', CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M') WHEN l_linenumber <> 3 THEN strftime(l_shipdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M') END, l_returnflag,
+            CASE WHEN l_linenumber % 3 = 0 THEN 'check' WHEN l_linenumber <> 5 THEN 'older' END, CASE WHEN l_linenumber IN (3, 4) THEN 'room' WHEN l_linenumber <> 6 THEN 'clinic' END) AS line FROM lineitem""",
+    "order_listing": """
+        WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders)
+        SELECT 50 AS "offset", count(*) AS n, (SELECT count(*) FROM orders) AS total, string_agg(o_orderkey::VARCHAR, ',' ORDER BY place) AS orders FROM p WHERE place BETWEEN 51 AND 100
+        UNION ALL SELECT 49999950, 0, (SELECT count(*) FROM orders), ''""",
     "vec_pairs": """
         WITH b AS (SELECT vec_id // 10 AS batch, count(*) AS n, bool_or(vec_id % 130 = 5) AS cut FROM embeddings GROUP BY 1),
         e AS (SELECT *, CASE WHEN batch % 11 = 3 THEN 'NULL_LIST' WHEN batch % 7 = 0 THEN 'UNEQUAL_LENGTHS' WHEN cut THEN 'WRONG_SIZE' END AS error FROM b)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .. import schemas
 
@@ -21,10 +23,10 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, lower: int, u
 
 
 def by_key(df: DataFrame, **key) -> DataFrame:
-    """The row with this key, or none."""
+    """The row with this key, or none; where the key isn't unique, the first by the columns that can be ordered."""
     for name, value in key.items():
         df = df.filter(F.col(name) == F.lit(value))
-    return df.limit(1)
+    return df.orderBy(*(f.name for f in df.schema if not isinstance(f.dataType, MapType))).limit(1)
 
 
 def patient_context(spark: SparkSession, path: str, user_id: int, care_episode_id: int) -> DataFrame:
@@ -51,8 +53,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     folder = path.rsplit("/", 1)[0] if "/" in path else "."
     rows = rows.withColumn("file_path", F.when(F.col("file_path").rlike("^(?:/|[a-z0-9]+:)"), F.col("file_path")).otherwise(F.concat(F.lit(folder + "/"), "file_path")))
     listed = rows.select("document_id", "file_path").collect()
-    ids = [r.document_id for r in listed]
-    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
+    counts = Counter(r.document_id for r in listed)
+    if repeated := sorted(i for i, n in counts.items() if n > 1):
         raise ValueError(f"repeated document ids: {repeated}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for r in listed:

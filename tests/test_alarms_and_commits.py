@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from carelattice import schemas
 from carelattice.functions import dates
-from carelattice.operators import machines, quality, schedules, search
+from carelattice.operators import machines, quality, relational, schedules, search
 from carelattice.plans import assembly
-from carelattice.sources import commits, sinks, vector_table
+from carelattice.sources import commits, readers, sinks, vector_table
 
 AT = lambda *a: datetime.datetime(*a)
 
@@ -257,3 +257,16 @@ def test_keys_and_references(spark):
     got = {(r.table, r.id, r.kind, r.constraint) for r in quality.table_violations(tables).collect()}
     assert got == {("alarms", 1, "UNIQUE", "user_alarm_slot"), ("alarms", 2, "UNIQUE", "user_alarm_slot"), ("alarms", 4, "REFERENCE", "care_episode_id"), ("alarms", 5, "REFERENCE", "user_id"), ("alarms", 5, "CHECK", "meal_slot"), ("care_episodes", 7, "CHECK", "medication_days")}
     assert spark.range(1).select(quality.clean_codes(F.array(F.lit(" a"), F.lit("a "), F.lit(" "), F.lit("b")))).first()[0] == ["a", "b"]
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 3)], "k int, t string, n int")
+    assert [tuple(r) for r in readers.by_key(rows, k=1).collect()] == [(1, "a", 2)] and readers.by_key(rows, k=2, t="x").collect() == []
+    sinks.append(rows, str(tmp_path / "t"))
+    sinks.append(rows.filter("k = 2"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    days = spark.createDataFrame([("2024-05-01",), ("2022-04-30",), ("2022-05-01",), ("2024-05-02",)], "d string").select("d", dates.within_years(F.to_date("d"), F.to_date(F.lit("2024-05-01"))).alias("w"))
+    assert {r.d for r in days.collect() if r.w} == {"2024-05-01", "2022-05-01"}
+    late = relational.listing(rows, [F.col("n")], 9, 2).first()
+    assert (late["items"], late["total"], late["offset"], late["limit"]) == ([], 3, 16, 2)
+    assert [x.n for x in relational.listing(rows, [F.desc("n")], 1, 2).first()["items"]] == [3, 2]
