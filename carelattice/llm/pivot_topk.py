@@ -7,7 +7,8 @@ largest |d(q', p) - d(x', p)| bounds d(q', x') from below and so the score from
 candidates are evaluated in the order of that bound until it can't reach the k-th best score.
 
 Queries and candidates are packed into blocks; every block of queries meets every block of
-candidates by an equi-join on a group number, and each meeting returns k rows a query at most.
+candidates by an equi-join on a group number, of which there are as many as the candidates fill blocks. A task keeps its queries' best
+from meeting to meeting and returns k rows a query at most.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 PIVOTS = 24
-#: Vectors in a block of candidates and in a block of queries, groups of candidate blocks, and candidates evaluated at a step.
-CANDIDATES, QUERIES, GROUPS, STEP = 4096, 512, 16, 256
+#: Vectors in a block of candidates and in a block of queries, candidates evaluated at a step, and query blocks whose best a task holds.
+CANDIDATES, QUERIES, STEP, HELD_BLOCKS = 4096, 512, 256, 64
 #: What rounding may add to a squared distance, as a share of the squared norms.
 SLACK = 1e-9
 
@@ -62,19 +63,29 @@ def _pack(pivots: np.ndarray, most: float, rows: int, query: bool):
 
 def _search(k: int, most: float, pivots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each query's best so far, by its block: what a task has found bounds what later candidates must reach.
+        held: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = {}
+
+        def told(first: int) -> pa.RecordBatch:
+            q_ids, ids, scores = held.pop(first)
+            columns = np.repeat(q_ids, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(scores)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 q_ids, q, q_table, c_ids, c, c_table = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.int64, np.float64) * 2))
                 q, c = q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1)
                 q_table, c_table = q_table.reshape(len(q_ids), pivots), c_table.reshape(len(c_ids), pivots)
-                found = [[], [], []]
+                none = np.zeros(0, np.int64)
+                _, best_ids, best_scores = held.setdefault(int(q_ids[0]), (q_ids, [none] * len(q_ids), [none] * len(q_ids)))
                 for n in range(len(q_ids)):
                     norm = float((q[n].astype(np.float64) ** 2).sum())
                     far = np.abs(c_table - q_table[n]).max(axis=1)
                     bound = (norm + most - far * far) / 2 + SLACK * (norm + most) + 1e-6
-                    order = np.argsort(-bound, kind="stable")
-                    order = order[c_ids[order] != q_ids[n]]
-                    ids, scores, worst = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
+                    ids, scores = best_ids[n], best_scores[n]
+                    worst = scores[-1] if len(scores) == k else -np.inf
+                    order = np.flatnonzero((bound >= worst) & (c_ids != q_ids[n]))
+                    order = order[np.argsort(-bound[order], kind="stable")]
                     for at in range(0, len(order), STEP):
                         step = order[at : at + STEP]
                         if bound[step[0]] < worst:
@@ -83,9 +94,11 @@ def _search(k: int, most: float, pivots: int):
                         best = np.lexsort((ids, -scores))[:k]
                         ids, scores = ids[best], scores[best]
                         worst = scores[-1] if len(scores) == k else -np.inf
-                    for column, values in zip(found, (np.full(len(ids), q_ids[n]), ids, scores), strict=True):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
+                    best_ids[n], best_scores[n] = ids, scores
+                if len(held) > HELD_BLOCKS:
+                    yield told(next(iter(held)))
+        while held:
+            yield told(next(iter(held)))
 
     return run
 
@@ -109,17 +122,18 @@ def pivot_topk(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
     rows = materialize(rows, "vectors")
     norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    lengths = rows.groupBy(F.size("x").alias("length")).agg(F.max(norm).alias("most")).toPandas()
+    lengths = rows.groupBy(F.size("x").alias("length")).agg(F.max(norm).alias("most"), F.count(F.lit(1)).alias("n")).toPandas()
     parts = []
-    for length, most in lengths.itertuples(index=False):
+    for length, most, n in lengths.itertuples(index=False):
+        groups = int(n) // CANDIDATES + 1  # about a block of candidates each
         own = rows.filter(F.size("x") == int(length))
         chosen = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("x").toPandas()["x"]
         pivots = _lift(np.array(chosen.tolist(), np.float64), most)
         blocks = "block long, ids binary, vectors binary, table binary"
         table = own.select("vec_id", "x").mapInArrow(_pack(pivots, most, CANDIDATES, False), blocks)
         asked = own.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "x").mapInArrow(_pack(pivots, most, QUERIES, True), blocks)
-        table = table.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(GROUPS)).cast("int")).drop("block")
-        asked = asked.drop("block").toDF("q_ids", "q_vectors", "q_table").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+        table = table.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).drop("block")
+        asked = asked.drop("block").toDF("q_ids", "q_vectors", "q_table").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         both = asked.join(table, "g").select("q_ids", "q_vectors", "q_table", "ids", "vectors", "table")
         parts.append(both.mapInArrow(_search(k, float(most), len(pivots)), "query_id long, vec_id long, score long"))
     if not parts:
@@ -127,7 +141,7 @@ def pivot_topk(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
-    # k rows of each block meet here, so a query's rows number k for each block of candidates.
+    # k rows of each task meet here, so a query's rows number k for each block of candidates at most.
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
