@@ -196,7 +196,7 @@ class Common:
     """The broadcast words with their ids, sorted by a hash; a hit counts only if the word's bytes are the same."""
 
     def __init__(self, packed: pa.Table):
-        whole = lambda name, kind: np.frombuffer(b"".join(packed.column(name).to_pylist()), kind)
+        whole = lambda name, kind: np.frombuffer(b"".join(c.as_buffer() for c in packed.column(name)), kind)
         ends = lambda name: np.concatenate(([0], np.cumsum(whole(name, np.int32), dtype=np.int64)))
         self.word_at, self.words, self.ids_at, self.ids = ends("word_sizes"), whole("words", np.uint8), ends("id_sizes"), whole("ids", np.int32)
         hashes = whole("hashes", np.uint64)
@@ -286,6 +286,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranks = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(common_words(rows, path, most))
+    pa.default_memory_pool().release_unused()  # the driver keeps no copy of what it has sent
     parts = rows.mapInArrow(_parts(path, shared), _PARTS)
     fold = lambda literal: lambda word: _let(F.decode(word, "ISO-8859-1"), lambda spelled: fold_merges(spelled, literal))
     own_ids = _let(rank_literal(ranks), lambda literal: F.transform("own", fold(literal)))
