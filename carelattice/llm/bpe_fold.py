@@ -236,8 +236,11 @@ def _parts(path: str, shared):
                     older, kept = kept, {}
                 kept.update((w, older[w]) for w in words if w in older)
                 new = [w for w in words if w not in kept]
-                long = {i for i, w in enumerate(new) if 4 * len(w) >= LONG_FOLD and len(w.encode()) >= LONG_FOLD}
-                kept.update((w, told(merge_long(w.encode(), ranks) if i in long else ids)) for i, (w, ids) in enumerate(zip(new, common.find(new), strict=True)))
+                found = common.find(new)
+                long = [i for i, w in enumerate(new) if len(w) >= LONG_FOLD // 4 and len(w.encode()) >= LONG_FOLD]
+                for i in long:
+                    found[i] = merge_long(new[i].encode(), ranks)
+                kept.update(zip(new, map(told, found), strict=True))
                 entries = [kept[w] for w in words]
                 for i in long:  # too large to keep
                     del kept[new[i]]
