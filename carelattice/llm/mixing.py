@@ -112,18 +112,22 @@ def fair_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """The mix itself: rows of ``docs`` with its columns, in the order of their virtual finish times.
 
-    Documents are taken whole; a source's turn that the cut falls into counts if at least half of its words were served. A document
+    Documents are taken whole. The turns that the cut falls into, one a source at most, are taken or left in the order of their finish times
+    so that the total stays nearest to the budget. A document
     taken twice is two rows; a document that isn't taken, or has no words (null and blank texts), is no row. A null
     source is one source. Rows alike in identifier and text are queued each. An empty table stays empty; columns may have any names.
     """
     plan = materialize(fair_schedule(docs, id_col, text_col, source_col, seed), "schedule")
     first = F.least("size", "taken")
-    for_turns = F.array(
-        F.struct((2 * first >= F.col("size")).alias("in"), F.col("finish").alias("finish")),
-        F.struct((2 * (F.col("taken") - first) >= F.col("size")).alias("in"), F.col("finish_2").alias("finish")),
-    )
-    turns = plan.filter("size > 0").select("doc_id", "text_hash", F.explode(F.filter(for_turns, lambda t: t["in"])).alias("turn"))
-    turns = turns.select("doc_id", "text_hash", F.col("turn.finish").alias("finish"))
+    served = F.array(F.struct(first.alias("words"), "finish"), F.struct((F.col("taken") - first).alias("words"), F.col("finish_2").alias("finish")))
+    turns = plan.filter("size > 0").select("doc_id", "text_hash", "size", F.explode(served).alias("turn")).select("doc_id", "text_hash", "size", "turn.*").filter("words > 0")
+    kept, off = [], 0
+    for t in turns.filter("words < size").orderBy("finish", "text_hash").collect():  # one turn a source at most
+        whole = abs(off + t["size"] - t["words"]) <= abs(off - t["words"])
+        off += t["size"] - t["words"] if whole else -t["words"]
+        kept += [(t["doc_id"], t["text_hash"], t["finish"])] if whole else []
+    turns = turns.filter("words = size").select("doc_id", "text_hash", "finish")
+    turns = turns.unionByName(docs.sparkSession.createDataFrame(kept, turns.schema))
     # The documents' own columns are inside ``row``, so no name of theirs can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
     if plan.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():  # the turns of rows alike are rows of their own
