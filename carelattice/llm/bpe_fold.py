@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ COMMON_WORDS, COMMON_BYTES, SAMPLE_ROWS = 1 << 20, 64, 50_000
 RANK_BUCKETS = 16384
 #: Code points from which a word is cut where no token reaches across.
 LONG_WORD = 48
-#: Words in each of the two halves that a worker keeps ready, and distinct words it gathers before it emits them.
-KEPT_WORDS, GATHERED_WORDS = 90_000, 300_000
+#: Distinct words that a worker gathers before it emits them.
+GATHERED_WORDS = 300_000
 NO_RANK, PLACES = 2**31 - 1, 1 << 20
 #: Bytes from which an uncut word is merged by a heap: the fold copies its state at each merge, so its work grows with the square of a word.
 LONG_FOLD = 1024
@@ -185,13 +186,31 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         if words:
-            hashes = textcodes.strong_hashes([w.decode() for w in words])[:, 0]
+            hashes = np.concatenate([textcodes.span_hashes(codes, at[:-1], at[1:]) for _, codes, at in textcodes.slices([w.decode() for w in words])])
             sizes = [np.fromiter(map(len, x), np.int32, len(x)) for x in (words, ids)]
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[1].sum()))
             cells = (hashes.tobytes(), sizes[0].tobytes(), b"".join(words), sizes[1].tobytes(), flat.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of ``size`` from ``begin`` on, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _spelled(offsets: np.ndarray, data) -> pa.LargeBinaryArray:
+    """``data`` from offset to offset, not copied."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _in_utf8(codes: np.ndarray, starts: np.ndarray) -> pa.LargeBinaryArray:
+    """The words from each of ``starts`` to the next; the first one is 0."""
+    at = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), out=at[1:])
+    return _spelled(np.append(at[starts], at[-1]), codes.tobytes().decode("utf-32-le").encode())
+
+
 class Common:
     """The broadcast words with their ids, sorted by a hash; a hit counts only if the word's bytes are the same."""
 
@@ -203,64 +222,69 @@ class Common:
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
 
-    def find(self, words: list[str]) -> list[list[int] | None]:
-        """The ids of each word, None for one that isn't here."""
-        if not words or not len(self.hashes):
-            return [None] * len(words)
-        h = textcodes.strong_hashes(words)[:, 0]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        place = np.where(self.hashes[at] == h, self.order[at], -1).tolist()
-        held = lambda i, word: i >= 0 and self.words[self.word_at[i] : self.word_at[i + 1]].tobytes() == word.encode()
-        return [self.ids[self.ids_at[i] : self.ids_at[i + 1]].tolist() if held(i, w) else None for i, w in zip(place, words, strict=True)]
+    def find(self, words: pa.LargeBinaryArray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin in ``ids`` and how many they are, 0 for a word that isn't here."""
+        if not len(words) or not len(self.hashes):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        turn = np.argsort(hashes)  # neighbours are found near each other, which spares the cache
+        at = np.empty(len(hashes), np.int32)
+        at[turn] = self.order[np.minimum(np.searchsorted(self.hashes, hashes[turn]), len(self.hashes) - 1)]
+        same = pc.equal(_spelled(self.word_at, self.words).take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return self.ids_at[at], np.where(same, self.ids_at[at + 1] - self.ids_at[at], 0)
 
 
 _PARTS = "doc_id long, n long, ids array<string>, decoded array<string>, own array<binary>, rare array<int>"
 
 
 def _parts(path: str, shared):
-    """Each text's ids and decoded text between the words that aren't common, these words, each once, and which of them stand there."""
+    """Each text's ids and decoded text between the words that aren't common, these words, each once, and which of them stand there.
+
+    Arrow and numpy handle the words of a slice together; nothing is done in Python for each word but the long ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: Common = shared.value
         ranks = load_ranks(path)
-        pieces = {rank: token for token, rank in ranks.items()}
-        told = lambda ids: ids and (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]).decode())
-        kept: dict[str, tuple[int, str, str] | None] = {}
-        older: dict[str, tuple[int, str, str] | None] = {}
+        pieces = pa.array(sorted(ranks, key=ranks.get), pa.binary())
+        digits = pa.array(map(str, range(len(ranks))), pa.string())
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
         for batch in textcodes.pieces(batches, 256):
-            out: list[list] = [[], [], [], [], []]
-            for _, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
+            for at, codes, offsets in textcodes.slices(batch.column(1).to_pylist()):
                 starts, ends, first = words_of(codes, offsets, path)
-                words, place = textcodes.spans(codes, starts, ends)
-                if len(kept) > KEPT_WORDS:  # words in use move on from the older half
-                    older, kept = kept, {}
-                kept.update((w, older[w]) for w in words if w in older)
-                new = [w for w in words if w not in kept]
-                found = common.find(new)
-                long = [i for i, w in enumerate(new) if len(w) >= LONG_FOLD // 4 and len(w.encode()) >= LONG_FOLD]
-                for i in long:
-                    found[i] = merge_long(new[i].encode(), ranks)
-                kept.update(zip(new, map(told, found), strict=True))
-                entries = [kept[w] for w in words]
-                for i in long:  # too large to keep
-                    del kept[new[i]]
-                count = np.array([e[0] if e else 0 for e in entries], np.int64)
-                sums = np.concatenate(([0], np.cumsum(count[place]))) if len(place) else np.zeros(1, np.int64)
-                rare = np.flatnonzero(count[place] == 0) if len(place) else place
-                listed = place.tolist()
-                ids, texts = [entries[p][1] if entries[p] else words[p] for p in range(len(words))], [e[2] if e else "" for e in entries]
-                ids, texts = [ids[p] for p in listed], [texts[p] for p in listed]
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    cuts = rare[np.searchsorted(rare, a) : np.searchsorted(rare, b)].tolist()
-                    bounds = list(zip([a, *(c + 1 for c in cuts)], [*cuts, b], strict=True))
-                    out[0].append(int(sums[b] - sums[a]))
-                    out[1].append([",".join(ids[i:j]) if i < j else None for i, j in bounds])
-                    out[2].append(["".join(texts[i:j]) for i, j in bounds])
-                    own: dict[str, int] = {}
-                    out[4].append([own.setdefault(ids[c], len(own)) for c in cuts])
-                    out[3].append([w.encode() for w in own])
-            types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n", "ids", "decoded", "own", "rare"])
+                coded = _in_utf8(codes, starts).dictionary_encode()
+                words, place = coded.dictionary, coded.indices.to_numpy()
+                met = np.zeros(len(words), np.int64)
+                met[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+                begin, size = common.find(words, textcodes.span_hashes(codes, starts[met], ends[met]))
+                ids = common.ids[_gather(begin, size)]
+                begin = np.cumsum(size) - size
+                long = np.flatnonzero(pc.binary_length(words).to_numpy() >= LONG_FOLD)
+                merged = [np.array(merge_long(words[i].as_py(), ranks), np.int32) for i in long.tolist()]
+                size[long] = [len(m) for m in merged]
+                begin[long] = len(ids) + np.cumsum(size[long]) - size[long]
+                ids = np.concatenate([ids, *merged])
+                counts = size[place]
+                tokens = pa.array(ids[_gather(begin[place], counts)])
+                sums = np.concatenate(([0], np.cumsum(counts)))
+                rare = np.flatnonzero(counts == 0)
+                rare_at = np.searchsorted(rare, first)  # each text's first rare word
+                # A part begins with each text and after each rare word, which has no tokens yet.
+                cuts = np.append(np.sort(np.concatenate((sums[first[:-1]], sums[rare]))), sums[-1])
+                parts_at = rare_at + np.arange(len(first))
+                joined = pc.if_else(pa.array(np.diff(cuts) > 0), pc.binary_join(lists(cuts, digits.take(tokens)), ","), None)
+                decoded = pc.binary_join(lists(cuts, pieces.take(tokens)), b"").cast(pa.string())
+                text = np.repeat(np.arange(len(first) - 1), np.diff(rare_at))
+                own, which = np.unique(text * len(words) + place[rare], return_inverse=True)
+                own_at = np.searchsorted(own, np.arange(len(first)) * len(words))
+                columns = (
+                    batch.column(0).slice(at, len(first) - 1),
+                    pa.array(np.diff(sums[first])),
+                    lists(parts_at, joined),
+                    lists(parts_at, decoded),
+                    lists(own_at, words.take(pa.array(own % max(1, len(words)))).cast(pa.binary())),
+                    lists(rare_at, pa.array(which - own_at[text], pa.int32())),
+                )
+                yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n", "ids", "decoded", "own", "rare"])
 
     return run
 

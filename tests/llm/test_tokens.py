@@ -1,4 +1,5 @@
 import base64
+import cProfile
 import hashlib
 import random
 import time
@@ -6,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -162,3 +164,25 @@ def test_long_words_among_others(spark):
     words = ["=" * 300_000, "ea" * 40_000, "=" * 1023 + "é", "日" * 2000, "=" * 1000]
     rows = [{"doc_id": i, "text": f"a {w} b {w}\n{w}"} for i, w in enumerate(words)]
     check_bpe(rows, bpe_fold.encode_and_decode(brute.frame(spark, rows), RANKS).collect())
+
+
+def test_common_words_are_laid_out_without_a_call_for_each():
+    """Of 2,000 texts' words nearly all are common; Python's calls must not grow with them (1.5 a word before)."""
+    ranks, rng = bpe_fold.load_ranks(RANKS), random.Random(8)
+    encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = [" " + "".join(rng.choices("aeioulnrstéж", k=rng.randint(2, 9))) for _ in range(20_000)]
+    texts = ["".join(rng.choices(words, k=50)) for _ in range(2000)]
+    known = sorted(set(words))[10:]
+    batch = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in known]), pa.array([encoding.encode_ordinary(w) for w in known])], names=["word", "ids"])
+    common = bpe_fold.Common(pa.Table.from_batches(list(bpe_fold._pack(iter([batch])))))
+    run = bpe_fold._parts(RANKS, type("Shared", (), {"value": common}))
+    with cProfile.Profile() as profile:
+        out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert sum(entry.callcount for entry in profile.getstats()) < 100_000 / 4
+    got = [row for part in out for row in part.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(2000)) and any(r["own"] for r in got)
+    for r, text in zip(got, texts, strict=True):
+        own = [r["own"][i].decode() for i in r["rare"]]
+        assert r["decoded"][0] + "".join(a + b for a, b in zip(own, r["decoded"][1:], strict=True)) == text
+        parts = [ids or "" for ids in r["ids"]] + [",".join(map(str, encoding.encode_ordinary(w))) for w in own]
+        assert sorted(",".join(filter(None, parts)).split(",")) == sorted(map(str, encoding.encode_ordinary(text)))
