@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark removes an action's shuffle files when the action ends, else when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where that is unset a local one is set in local mode; on a
@@ -37,6 +43,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Frames made within leave no shuffle files behind their actions, for rounds that would otherwise pile them up.
+
+    A frame that runs again shuffles again.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def brief_broadcast(spark: SparkSession, value: object) -> Iterator[Broadcast]:
+    """A broadcast for the actions within; its copies at the driver and the executors go with the block."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def drop_shared(spark: SparkSession) -> None:
     """Delete every table written by ``materialize`` under the session's shared folder."""
     jvm = spark.sparkContext._jvm

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import letters, textcodes
 from .langid import fold
-from .shared import materialize
+from .shared import brief_broadcast, brief_shuffles, materialize
 
 #: The bound of the training sample in rows (documented limit of the fit; scoring has none), the shards that
 #: learn side by side, their rounds, and the sampled texts that a feature must be in at any size: L1 does the rest.
@@ -148,26 +148,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     that met it. Driver and tasks hold the features of LEAST_TEXTS sampled texts only.
     """
     spark = docs.sparkSession
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    turn = F.xxhash64(F.lit(11), "doc_id")
-    chosen = chosen.withColumn("turn", turn).orderBy("turn", "doc_id").limit(sample_rows).withColumn("shard", F.pmod("turn", F.lit(SHARDS)).cast("int"))
-    # At most ``sample_rows`` rows of four numbers.
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "shard", "turn"), "toxicity-sample")
-    def often(words) -> np.ndarray:
-        counts = sample.select("text").mapInArrow(_frequencies(words), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        return np.sort(counts.filter(F.col("n") >= LEAST_TEXTS).select("feature").toArrow().column(0).to_numpy().view(U))
-
-    # A pair can only be in that many texts if both its words are.
-    vocabulary = often(spark.sparkContext.broadcast(often(None)))
-    encoded = sample.mapInArrow(_encode(spark.sparkContext.broadcast(vocabulary)), "shard int, toxic int, places array<int>")
-    encoded = materialize(encoded, "toxicity-encoded")
-    z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
-    for _ in range(ROUNDS):
-        changed = encoded.mapInArrow(_descend(spark.sparkContext.broadcast((z, n))), "place long, dz double, dn double")
-        mean = changed.groupBy("place").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
-        at = mean.column("place").to_numpy()
-        z[at] += mean.column("dz").to_numpy()
-        n[at] += mean.column("dn").to_numpy()
+    with brief_shuffles(spark):
+        chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        turn = F.xxhash64(F.lit(11), "doc_id")
+        chosen = chosen.withColumn("turn", turn).orderBy("turn", "doc_id").limit(sample_rows).withColumn("shard", F.pmod("turn", F.lit(SHARDS)).cast("int"))
+        # At most ``sample_rows`` rows of four numbers.
+        sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "shard", "turn"), "toxicity-sample")
+
+        def often(words) -> np.ndarray:
+            counts = sample.select("text").mapInArrow(_frequencies(words), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+            return np.sort(counts.filter(F.col("n") >= LEAST_TEXTS).select("feature").toArrow().column(0).to_numpy().view(U))
+
+        # A pair can only be in that many texts if both its words are.
+        with brief_broadcast(spark, often(None)) as words:
+            vocabulary = often(words)
+        with brief_broadcast(spark, vocabulary) as known:
+            encoded = materialize(sample.mapInArrow(_encode(known), "shard int, toxic int, places array<int>"), "toxicity-encoded")
+        z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
+        for _ in range(ROUNDS):
+            with brief_broadcast(spark, (z, n)) as state:
+                changed = encoded.mapInArrow(_descend(state), "place long, dz double, dn double")
+                mean = changed.groupBy("place").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
+            at = mean.column("place").to_numpy()
+            z[at] += mean.column("dz").to_numpy()
+            n[at] += mean.column("dn").to_numpy()
     w = weights_of(z, n)
     some = np.flatnonzero(w[:-1])
     return Weights(vocabulary[some], w[some], float(w[-1]))

@@ -1,9 +1,12 @@
 import math
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from carelattice.llm import langid, queries, toxicity
 from carelattice.llm.passage_dedup import _segments, bands, remove_passages, repeated_passages
@@ -115,6 +118,22 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.toxicity(docs.filter("false"), labels).collect() == []
 
 
+def test_toxicity_training_leaves_no_shuffles_or_broadcasts(spark):
+    """What the rounds shuffle and broadcast goes with each of them; it piled up until the driver collected its garbage."""
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
+    labels = docs.select("doc_id", (F.instr("text", "the") > 0).cast("int").alias("toxic"))
+    top = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {str(f) for f in top.rglob("*") if f.name.startswith(("shuffle_", "broadcast_")) or f.parent == Path(spark.sparkContext._temp_dir)}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key, None)
+    assert list(top.glob("blockmgr-*")) and len(toxicity.train(docs, labels).features)
+    for _ in range(50):  # Spark deletes in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, None) == was
+
+
 def words(n, seed):
     random_ = random.Random(seed)
     return " ".join("".join(random_.choices("abcdefghijklmnop", k=random_.randint(2, 8))) for _ in range(n))
