@@ -6,6 +6,9 @@ of characters changes; a space before anything but white space goes with what fo
 
 from __future__ import annotations
 
+from array import array
+from itertools import accumulate, chain, repeat
+
 import numpy as np
 
 from . import letters, textcodes
@@ -73,12 +76,39 @@ class Memo:
         return place, [self.known[w] for w in words]
 
 
-def ragged(lists: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenation of ``lists[p]`` for p in ``place`` as one array, and the length of each part."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), np.int64, int(sizes.sum())) if len(lists) else np.zeros(0, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    length = sizes[place]
-    total = int(length.sum())
-    shift = np.repeat(starts[place] - (np.cumsum(length) - length), length)
-    return flat[shift + np.arange(total)], length
+class Packed:
+    """Pre-token to its ids, which lie end to end in one array; filled by ``encode(words) -> ids of each`` for new ones."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.bounds = array("I"), array("q", [0])
+
+    def ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens of the slice, and how many each one has."""
+        words, place = textcodes.spans(codes, starts, ends)
+        numbers = self._numbers(words)
+        new = np.flatnonzero(numbers < 0)
+        if len(self.known) + len(new) > MEMO:
+            self._empty()
+            numbers[:] = -1
+            new = np.arange(len(words))
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            lists = self.encode(fresh)
+            numbers[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(fresh, numbers[new].tolist(), strict=True))
+            first = len(self.flat)
+            self.flat.extend(chain.from_iterable(lists))
+            self.bounds.extend(x + first for x in accumulate(map(len, lists)))
+        flat, bounds = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.bounds, np.int64)
+        begin, length = bounds[numbers][place], (bounds[numbers + 1] - bounds[numbers])[place]
+        shift = np.repeat(begin - (np.cumsum(length) - length), length)
+        return flat[shift + np.arange(len(shift))], length
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Where each word stands in the memo, -1 where it is new."""
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))

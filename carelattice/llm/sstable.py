@@ -19,6 +19,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +147,18 @@ class Reader:
         return found
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str):
+    """The tokenizer at ``path``, its special strings and a memo, which a worker keeps from task to task."""
+    tokenizer = bytelevel.load(path)
+    return tokenizer, bytelevel.special_strings(tokenizer), pretokens.Packed(lambda words: bytelevel.encode_words(tokenizer, words))
+
+
 def _build(path: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = bytelevel.load(path)
-        special = bytelevel.special_strings(tokenizer)
-        memo = pretokens.Memo(lambda words: bytelevel.encode_words(tokenizer, words))
+        tokenizer, special, memo = _encoder(path)
         part, sequence = TaskContext.get().partitionId(), 0
         shard = Writer(part, sequence)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
@@ -160,8 +166,7 @@ def _build(path: str, end_id: int, shard_bytes: int):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, codes, offsets in textcodes.slices(texts):
                 starts, ends, first = pretokens.split(codes, offsets)
-                place, lists = memo.values(codes, starts, ends)
-                ids, length = pretokens.ragged(lists, place)
+                ids, length = memo.ids(codes, starts, ends)
                 bounds = np.concatenate(([0], np.cumsum(length)))[first].tolist()
                 for i in range(len(offsets) - 1):
                     text = texts[at + i]

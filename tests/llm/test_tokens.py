@@ -1,19 +1,22 @@
 import base64
 import cProfile
 import hashlib
+import json
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as public
 import pyarrow as pa
+import pyspark
 import pytest
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from carelattice.llm import bpe_fold, pretokens, queries, sstable, textcodes, token_counts
+from carelattice.llm import bpe_fold, bytelevel, pretokens, queries, sstable, textcodes, token_counts
 
 from . import brute
 
@@ -71,6 +74,16 @@ def test_memo_starts_anew_when_full(monkeypatch):
         assert [sizes[p] for p in place] == (ends - starts).tolist()
 
 
+def test_packed_ids_start_anew_when_full(monkeypatch):
+    monkeypatch.setattr(pretokens, "MEMO", 4)
+    memo = pretokens.Packed(lambda words: [[ord(c) for c in w] for w in words])
+    for text in ("", "one two three", "four five six seven", "one two", "seven one", "one two three four five six"):
+        ((_, codes, offsets),) = textcodes.slices([text])
+        starts, ends, _ = pretokens.split(codes, offsets)
+        ids, length = memo.ids(codes, starts, ends)
+        assert ids.tolist() == codes.tolist() and length.tolist() == (ends - starts).tolist()
+
+
 def test_only_byte_level_files():
     with pytest.raises(ValueError):
         token_counts.single_tokens(public.path("word_bpe_49k.json"))
@@ -106,6 +119,30 @@ def test_shards_with_repeated_ids_and_lookup(spark, tmp_path):
     assert sorted(((r.doc_id, r.ids) for r in found), key=str) == sorted(want, key=str)
 
 
+def test_words_are_encoded_once_for_all_tasks_of_a_worker(monkeypatch, tmp_path):
+    path, rows, encoded, encode = tmp_path / "own.json", odd_rows(), [], bytelevel.encode_words
+    monkeypatch.setattr(bytelevel, "encode_words", lambda tokenizer, words: encoded.extend(words) or encode(tokenizer, words))
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(texts(rows))], names=["doc_id", "text"])
+
+    def task():
+        (shard,) = sstable._build(str(path), 2, sstable.SHARD_BYTES)(iter([batch]))
+        tokenizer = Tokenizer.from_file(str(path))
+        assert [ids.tolist() for _, ids in sstable.Reader(shard.column(0)[0].as_py() + b"\n").scan()] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts(rows)]
+
+    path.write_text(open(JSON).read())
+    task()
+    assert len(encoded) == len(set(encoded)) > 100
+    task()
+    assert len(encoded) == len(set(encoded))
+    # Another file has a memo of its own.
+    spec = json.loads(path.read_text())
+    spec["model"]["merges"] = spec["model"]["merges"][:200]
+    path = tmp_path / "short.json"
+    path.write_text(json.dumps(spec))
+    task()
+
+
 def test_shard_of_many_blocks():
     writer = sstable.Writer(3, 4)
     ids = {i * 7 - 500: np.arange(i % 50) + (70_000 if i % 3 == 0 else 0) for i in range(20_000)}
