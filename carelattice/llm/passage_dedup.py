@@ -152,7 +152,7 @@ def repeated_passages(docs: DataFrame, k: int = K, percent: int = PERCENT, run_w
     across components by their rarest shingles, so very common shingles don't pair all that hold them.
     """
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    segments = texts.mapInArrow(_segments(k, bands(percent)), _SEGMENTS)
+    segments = materialize(texts.mapInArrow(_segments(k, bands(percent)), _SEGMENTS), "segments")
     keyed = segments.select("doc_id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("band")
     shared = materialize(shared, "bands")

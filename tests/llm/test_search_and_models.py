@@ -1,5 +1,6 @@
 import math
 import random
+import tempfile
 import time
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from carelattice.llm import langid, queries, toxicity
+from carelattice.llm import langid, passage_dedup, queries, toxicity
 from carelattice.llm.passage_dedup import _segments, bands, remove_passages, repeated_passages
 from carelattice.llm.pivot_topk import pivot_topk
 
@@ -215,6 +216,21 @@ def test_copies_that_hold_an_earlier_passage_keep_their_text_once(spark):
     assert len(left[5] & set(a.split())) < 40 and len(left[5] & set(b.split())) < 40 and len(left[9]) < 10
 
 
+def test_texts_are_cut_into_paragraphs_once(spark, tmp_path, monkeypatch):
+    def counted(k, count):
+        cut, folder = _segments(k, count), str(tmp_path)
+
+        def run(batches):
+            tempfile.mkstemp(dir=folder)
+            return cut(batches)
+
+        return run
+
+    monkeypatch.setattr(passage_dedup, "_segments", counted)
+    assert repeated_passages(brute.frame(spark, brute.awkward()).coalesce(1)).count()
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_passages_of_awkward_rows(spark):
     got = repeated_passages(brute.frame(spark, brute.awkward())).collect()
     assert {r.doc_id for r in got} >= {22, 25, 28} and all(r.doc_id is not None for r in got)
