@@ -151,11 +151,11 @@ def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.create_map(F.lit("job_id"), F.when(F.col("event_type") != "view", F.col("event_id").cast("string")), F.lit("job_type"), F.lit("PUBLIC_GUIDELINE_INDEX"), F.lit("manifest_path"), F.lit("m.json"), F.lit("fails"), fails.cast("string"))
     messages = events.select(F.concat(F.lit("m"), "event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("at"), fields.alias("fields"), place.alias("slice"))
     folder = stream_folder(spark)
-    for i in range(SLICES):  # one file after the other, so that each slice is a batch
-        messages.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").json(f"{folder}/in")
-    stream = spark.readStream.schema("message_id string, at timestamp, fields map<string, string>").option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-    retries.write_outcomes(retries.attempts(stream, _fails_at_first, time_col="at"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    last = retries.last_outcomes(spark.read.parquet(f"{folder}/out"))
+    for i in range(SLICES):  # the stream starts again when a slice has come, so that each slice is a batch, of as many files as it has
+        messages.filter(F.col("slice") == i).drop("slice").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("message_id string, at timestamp, fields map<string, string>").parquet(f"{folder}/in")
+        retries.write_outcomes(retries.attempts(stream, _fails_at_first, time_col="at"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    last = retries.last_outcomes(spark.read.parquet(f"{folder}/out").select("message_id", "outcome", "attempt", "failure_message"))
     return last.select("message_id", "outcome", "attempt", "failure_message")
 
 

@@ -1,7 +1,9 @@
 """Messages that stay pending over batches: attempts, idle time, dead letters.
 
-Each message is a key of a stateful operator. A failed one stays in the state and has a timer for when
-its idle time is over; the timer's batch tries it again. What was answered for good is remembered for a
+Messages are dealt to buckets by the hash of their identifier, and each bucket is a key of a stateful operator, so that the
+state is read, written and timed once a bucket and batch instead of once a message. A failed message stays in its bucket until
+its idle time is over, and the bucket has one timer, for the earliest of its messages; the timer's batch tries
+them again. What was answered for good is remembered for a
 while, so that a message that is delivered twice isn't worked on twice, and is then forgotten, so the
 state holds the messages of that span only. State and timers are in the checkpoint and survive restarts and lost
 executors.
@@ -10,6 +12,7 @@ executors.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +25,8 @@ from .index_jobs import MOST_ATTEMPTS, contract, dead_letters
 
 #: Seconds that a failed message waits, and that an answered one is remembered.
 IDLE_SECONDS, KEEP_SECONDS = 60, 24 * 3600
+#: Keys of the state. A batch rewrites the buckets that its messages fall into; a started stream must keep their number.
+BUCKETS = 256
 #: The state store that keyed state with timers needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOME = "message_id string, outcome string, attempt int, fields map<string, string>, failure_type string, failure_message string"
@@ -43,58 +48,84 @@ def timed(stream: DataFrame, time_col: str | None, late: str) -> DataFrame:
 
 
 class Attempts(StatefulProcessor):
-    """Works on a message when it arrives and whenever its idle time has passed, ``most`` times at most."""
+    """Works on the messages of a bucket when they arrive and whenever their idle time has passed, ``most`` times at most."""
 
     def __init__(self, attempt: Attempt, most: int, idle: int, keep: int, event_time: bool):
         self.attempt, self.most, self.idle, self.keep, self.event_time = attempt, most, 1000 * idle, 1000 * keep, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("message", "outcome string, attempt int, fields string")
+        # pending: {message_id: [attempts, due, fields]}, answered: {message_id: due}, as JSON.
+        self.state = handle.getValueState("messages", "pending string, answered string, timer long")
 
-    def _try(self, message_id: str, fields: dict, number: int, now: int) -> pd.DataFrame:
+    def _read(self) -> tuple[dict, dict, int | None]:
+        pending, answered, timer = self.state.get() or ("{}", "{}", None)
+        return json.loads(pending), json.loads(answered), timer
+
+    def _write(self, pending: dict, answered: dict, timer: int | None) -> None:
+        """Keep the bucket, with a timer for what is due first; ``timer`` is the one that it has."""
+        due = min(min((m[1] for m in pending.values()), default=math.inf), min(answered.values(), default=math.inf))
+        if due == math.inf:
+            self.state.clear()
+            return
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((json.dumps(pending), json.dumps(answered), due))
+
+    def _try(self, message_id: str, fields: dict, number: int, now: int, pending: dict, answered: dict) -> tuple:
         kind = text = None
         try:
             self.attempt(message_id, fields, number)
         except Exception as error:
             kind, text = type(error).__name__, str(error)
         outcome = "done" if kind is None else "pending" if number < self.most else "dead"
-        self.state.update((outcome, number, json.dumps(fields) if outcome == "pending" else None))
-        self.handle.registerTimer(now + (self.idle if outcome == "pending" else self.keep))
-        return _row(message_id, outcome, number, fields, kind, text)
+        if outcome == "pending":
+            pending[message_id] = [number, now + self.idle, fields]
+        else:
+            pending.pop(message_id, None)
+            answered[message_id] = now + self.keep
+        return message_id, outcome, number, fields, kind, text
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
+        pending, answered, timer = self._read()
+        now = clock(timerValues, self.event_time)
         for batch in rows:
-            for at, (fields, valid) in enumerate(zip(batch["fields"], batch["valid"], strict=True)):
-                if known:
-                    break
-                known = True
-                now = clock(timerValues, self.event_time, batch.iloc[at : at + 1])
+            found = []
+            times = batch["clock_ms"].fillna(0).astype("int64") if self.event_time else [0] * len(batch)
+            for message_id, fields, valid, own in zip(batch["message_id"], batch["fields"], batch["valid"], times, strict=True):
+                if message_id in pending or message_id in answered:
+                    continue
                 if valid:
-                    yield self._try(key[0], dict(fields), 1, now)
+                    found.append(self._try(message_id, dict(fields), 1, max(now, own), pending, answered))
                 else:
-                    self.state.update(("rejected", 0, None))
-                    self.handle.registerTimer(now + self.keep)
-                    yield _row(key[0], "rejected", 0, dict(fields) if fields is not None else {}, None, None)
+                    answered[message_id] = max(now, own) + self.keep
+                    found.append((message_id, "rejected", 0, dict(fields) if fields is not None else {}, None, None))
+            if found:
+                yield _rows(found)
+        self._write(pending, answered, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        outcome, number, fields = self.state.get()
-        if outcome == "pending":
-            yield self._try(key[0], json.loads(fields), number + 1, clock(timerValues, self.event_time))
-        else:
-            self.state.clear()
+        pending, answered, _ = self._read()
+        now = clock(timerValues, self.event_time)
+        answered = {name: due for name, due in answered.items() if due > now}
+        again = [(name, number, fields) for name, (number, due, fields) in pending.items() if due <= now]
+        if again:
+            yield _rows([self._try(name, fields, number + 1, now, pending, answered) for name, number, fields in again])
+        self._write(pending, answered, None)  # Spark deletes the timer that has expired
 
     def close(self) -> None:
         pass
 
 
-def _row(message_id: str, outcome: str, number: int, fields: dict, kind: str | None, text: str | None) -> pd.DataFrame:
-    return pd.DataFrame({"message_id": [message_id], "outcome": [outcome], "attempt": [number], "fields": [fields], "failure_type": [kind], "failure_message": [text]})
+def _rows(found: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["message_id", "outcome", "attempt", "fields", "failure_type", "failure_message"])
 
 
 def attempts(
     messages: DataFrame, attempt: Attempt, valid=None, most: int = MOST_ATTEMPTS, idle_seconds: int = IDLE_SECONDS, keep_seconds: int = KEEP_SECONDS, time_col: str | None = None, late: str = "0 seconds",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The outcome of every attempt at the messages of a stream: OUTCOME, outcome being done, pending, dead or rejected.
 
@@ -102,13 +133,14 @@ def attempts(
     repeated. Messages that aren't ``valid`` (a column; the contract of index jobs unless given) are rejected at once. The clock is the batch's
     processing time, or with ``time_col`` that of the messages and then the column's watermark, ``late`` behind. A failed message is tried again in the first batch at
     or after ``idle_seconds`` from its last attempt, and is dead after ``most`` attempts. A repeated message_id is ignored until ``keep_seconds``
-    after its answer. The session's state store must be ``STATE_STORE``. Without ``time_col`` the
+    after its answer. A batch costs the state of the ``buckets`` that it touches: more of them suit small batches that remember much. Their number belongs to the
+    checkpoint. The session's state store must be ``STATE_STORE``. Without ``time_col`` the
     stream needs a processing-time trigger (``seconds`` of ``write_outcomes``): its timers have no end.
     """
     rows = messages.select("message_id", "fields", F.coalesce(valid if valid is not None else contract(F.col("fields")).isNotNull(), F.lit(False)).alias("valid"), *([time_col] if time_col else []))
     rows = timed(rows, time_col, late)
     processor = Attempts(attempt, most, idle_seconds, keep_seconds, time_col is not None)
-    keyed = rows.filter(F.col("message_id").isNotNull()).groupBy("message_id")
+    keyed = rows.filter(F.col("message_id").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int")).groupBy("bucket")
     return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTCOME, outputMode="append", timeMode="EventTime" if time_col else "ProcessingTime")
 
 
@@ -123,8 +155,9 @@ def write_outcomes(outcomes: DataFrame, folder: str, checkpoint: str, seconds: i
 
 
 def last_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Of each message its last outcome."""
-    return outcomes.groupBy("message_id").agg(F.max_by(F.struct("outcome", "attempt", "fields", "failure_type", "failure_message"), "attempt").alias("o")).select("message_id", "o.*")
+    """Of each message its last outcome, with the columns that are given."""
+    kept = [c for c in ("outcome", "attempt", "fields", "failure_type", "failure_message") if c in outcomes.columns]
+    return outcomes.groupBy("message_id").agg(F.max_by(F.struct(*kept), "attempt").alias("o")).select("message_id", "o.*")
 
 
 def dead(outcomes: DataFrame) -> DataFrame:

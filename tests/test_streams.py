@@ -1,13 +1,18 @@
 """Keyed state over streams, on a clock that the tests set by the events' times."""
 
 import json
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from carelattice.operators import machines
+from carelattice.plans import catalog_alarms
 from carelattice.streaming import retries, state
 
+from . import compare
+
 
 @pytest.fixture(autouse=True)
 def store(spark):
@@ -74,6 +79,53 @@ def test_retries_over_batches_and_restarts(spark, tmp_path):
     assert sorted(x for x in tried.read_text().split() if "tick" not in x) == ["good:1", "good:1", "never:1", "never:2", "never:3", "once:1", "once:2"]
 
 
+def test_messages_share_the_state_of_a_bucket(spark, tmp_path):
+    """The state has a row a bucket, however many messages; each of them keeps its own idle time and is forgotten by itself."""
+
+    def attempt(name, fields, number):
+        if number <= int(fields["fails"]):
+            raise ValueError(f"{name} {number}")
+
+    inbox = Inbox(spark, tmp_path, "message_id string, at timestamp, fields map<string, string>")
+    run = lambda: inbox.drain(lambda s: retries.attempts(s, attempt, time_col="at", keep_seconds=600, buckets=2))
+    state_of = lambda df: {r.message_id: (r.outcome, r.attempt) for r in retries.last_outcomes(df).collect()}
+    rows = lambda: spark.read.format("statestore").option("stateVarName", "messages").load(str(tmp_path / "checkpoint")).count()
+    inbox.put(*(message(f"m{i}", f"00:00:{i:02d}", fails=9 if i % 2 else 0) for i in range(40)), message("m1", "00:00:39", fails=0))
+    assert state_of(run()) == {f"m{i}": ("pending" if i % 2 else "done", 1) for i in range(40)}
+    assert rows() == 2
+    inbox.put(message("tick1", "00:01:21", fails=0))  # the idle time of m21 ends with this second, that of m23 doesn't
+    assert {k: v for k, v in state_of(run()).items() if v[0] == "pending"} == {f"m{i}": ("pending", 2 if i <= 21 else 1) for i in range(1, 40, 2)}
+    inbox.put(message("tick2", "00:02:21", fails=0))
+    assert {k: v for k, v in state_of(run()).items() if k[:4] != "tick" and int(k[1:]) % 2} == {f"m{i}": ("dead", 3) if i <= 21 else ("pending", 2) for i in range(1, 40, 2)}
+    inbox.put(message("tick3", "00:10:20", fails=0))
+    run()  # m0 to m20 are forgotten, m22 is not
+    inbox.put(message("m20", "00:10:20.5", fails=9), message("m22", "00:10:20.5", fails=9))
+    found = state_of(run())
+    assert found["m22"] == ("done", 1) and found["m39"] == ("dead", 3)
+    assert spark.read.parquet(str(tmp_path / "out")).filter("message_id = 'm20' AND outcome = 'pending'").count() == 1
+    inbox.put(message("tick4", "05:00:00", fails=0))
+    run()
+    inbox.put(message("tick5", "09:00:00", fails=0))
+    run()
+    assert rows() == 1  # tick5's
+
+
+def test_slices_of_many_files(spark, tmp_path):
+    """A slice is as many files as the input has parts, and still one batch, though the slices meet within a millisecond."""
+    times = ["0", "1.0002", "1.0003", "1.0007", "1.0008", "3.5", "3.6", "4.002"]  # a slice ends at 1.0005
+    con = duckdb.connect()
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL ({t} * 1000000) MICROSECOND, '{'click' if i % 3 else 'signup'}')" for i, t in enumerate(times))
+    con.sql(f"CREATE TABLE events AS SELECT event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts, event_type FROM (VALUES {rows}) v(event_id, ts, event_type)")
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(2):
+        con.sql(f"COPY (FROM events WHERE event_id % 2 = {i}) TO '{tmp_path}/events.parquet/{i}.parquet'")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("streams/*"))
+    got, want = compare.compare(spark, con, catalog_alarms.stream_retries, catalog_alarms.SQL["stream_retries"], str(tmp_path))
+    assert got == want and len(got) == len(times)
+    (folder,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("streams/*")) - before
+    assert len(list(folder.glob("in/*.parquet"))) > catalog_alarms.SLICES
+
+
 def test_retries_by_processing_time(spark, tmp_path):
     def attempt(name, fields, number):
         if number < 2:
