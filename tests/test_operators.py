@@ -1,11 +1,15 @@
 """Operators, rule packs, readers, writers and streams on the documented fixtures."""
 
 import datetime
+import math
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carelattice import schemas
+from carelattice.functions import vectors
 from carelattice.operators import machines, quality, relational, search, splitter
 from carelattice.plans import assembly, indexing, rules
 from carelattice.sources import readers, sinks
@@ -108,6 +112,36 @@ def test_search(spark):
     assert [(r.query_id, r.point_id, r.rank, r.strict) for r in got] == [("q1", "p1", 1, True), ("q2", "p1", 1, False), ("q2", "p2", 2, False)]
 
 
+@pytest.mark.parametrize("threshold", [-0.3, 0.8])
+def test_relaxed_search_by_groups(spark, monkeypatch, threshold):
+    """Groups of both sides give what all pairs give, to the bit: ties, copies, nulls, zero, tiny, huge and infinite vectors, other sizes."""
+    monkeypatch.setattr(search, "GROUP_POINTS", 60, raising=False)
+    monkeypatch.setattr(search, "GROUP_QUERIES", 20, raising=False)
+    dice, inf, nan = random.Random(4), math.inf, math.nan
+    grid = [[float(dice.randint(-2, 2)) for _ in range(6)] for _ in range(70)]
+    wide = [[dice.gauss(0, 1) for _ in range(6)] for _ in range(70)]
+    odd = [None, [], [1.0] * 5, [1.0] * 5, [2.0] * 5, [0.0] * 6, [nan] + [1.0] * 5, [inf] + [0.0] * 5, [1.0, None] + [1.0] * 4, [1e200] * 6, [1e160, 1.0, 0.0, 0.0, 0.0, 0.0], [1e-170] * 6, [3e-160, 1e-160, 0.0, 0.0, 0.0, 0.0], [1e30] * 6]
+    all_of = [*grid, *grid[:30], *([3.0 * x for x in v] for v in wide[:20]), *wide, *odd]
+    rows = [(f"p{i}", v, dice.choice(["a", "b", "c", None])) for i, v in enumerate(all_of)]
+    flat = spark.createDataFrame(rows, "point_id string, vector array<double>, topic string")
+    asked = spark.createDataFrame([(i, v, dice.choice(["a", "b", "none", None])) for i, (_, v, _) in enumerate([*rows[::5], *rows[-len(odd) :]])], "query_id int, query_vector array<double>, topic string")
+    got = search.relaxed_top_k(asked, flat, "topic", 4, threshold)
+    pairs = flat.crossJoin(asked.withColumnRenamed("topic", "own")).withColumn("score", vectors.cosine(F.col("vector"), F.col("query_vector"))).filter(F.col("score") >= threshold)
+    pairs = pairs.withColumn("strict", F.coalesce(F.col("topic") == F.col("own"), F.lit(False))).withColumn("any", F.max("strict").over(Window.partitionBy("query_id"))).filter("strict OR NOT any")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))).filter("rank <= 4")
+    plain = lambda found: sorted((r.query_id, r.point_id, repr(r.score + 0.0), r.rank, r.strict) for r in found.collect())
+    assert plain(got) == plain(ranked.select("query_id", "point_id", "score", "rank", F.col("any").alias("strict")))
+    assert {r.strict for r in got.collect()} == {True, False}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a pair isn't a row
+
+
+def test_relaxed_search_of_nothing(spark):
+    flat = points(spark).select("point_id", "vector", F.col("metadata.topic").alias("topic"))
+    asked = spark.createDataFrame([("q1", [1.0, 0.0, 0.0], "MEDICATION"), ("q2", [1.0, 0.0], None), ("q3", None, "MEDICATION")], "query_id string, query_vector array<float>, topic string")
+    assert search.relaxed_top_k(asked, flat.limit(0), "topic").count() == search.relaxed_top_k(asked.limit(0), flat, "topic").count() == 0
+    assert {r.query_id for r in search.relaxed_top_k(asked, flat, "topic").collect()} == {"q1"}
+
+
 def test_reindex(spark):
     pages = spark.createDataFrame([("d1", 1, "one two\n\nthree"), ("d1", 2, "  "), ("d1", 3, "four"), ("d1", 3, "four")], "document_id string, page_number int, text string")
     chunks = indexing.chunks_of(pages)
